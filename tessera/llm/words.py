@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once.  One longer text is handled alone, still whole.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
