@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, secrets, toxicity
+from . import langid, neardup, secrets, spm, toxicity
 from .runtime import doc_bucket, table
 
 
@@ -26,6 +26,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best segmentations of every text, as digests, and whether the best decodes to the text."""
+    encoded = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2)
+    best = encoded.select(
+        "doc_id", "text", F.get("ids", F.lit(0)).alias("best_ids"), F.get("scores", F.lit(0)).alias("best_score"), F.get("scores", F.lit(1)).alias("second_score"),
+        F.size(F.get("ids", F.lit(0))).cast("long").alias("n_pieces"), F.xxhash64(F.get("ids", F.lit(0))).alias("best_hash"), F.xxhash64(F.get("ids", F.lit(1))).alias("second_hash"),
+    )
+    return spm.decode(best).select("doc_id", "n_pieces", "best_score", "second_score", "best_hash", "second_hash", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,6 +56,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_secrets": op8_secrets,
 }
 ORACLES: dict[str, str] = {}
