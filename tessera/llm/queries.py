@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, secrets, spm, toxicity
+from . import decontam, langid, linedup, neardup, secrets, spm, toxicity
 from .runtime import doc_bucket, table
 
 
@@ -37,12 +37,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best segmentations of every text, as digests, and whether the best decodes to the text."""
-    encoded = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2)
-    best = encoded.select(
-        "doc_id", "text", F.get("ids", F.lit(0)).alias("best_ids"), F.get("scores", F.lit(0)).alias("best_score"), F.get("scores", F.lit(1)).alias("second_score"),
-        F.size(F.get("ids", F.lit(0))).cast("long").alias("n_pieces"), F.xxhash64(F.get("ids", F.lit(0))).alias("best_hash"), F.xxhash64(F.get("ids", F.lit(1))).alias("second_hash"),
+    encoded = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2, decoded="decoded")
+    best, second = F.get("ids", F.lit(0)), F.get("ids", F.lit(1))
+    return encoded.select(
+        "doc_id", F.size(best).cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("best_score"), F.get("scores", F.lit(1)).alias("second_score"),
+        F.xxhash64(best).alias("best_hash"), F.xxhash64(second).alias("second_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
-    return spm.decode(best).select("doc_id", "n_pieces", "best_score", "second_score", "best_hash", "second_hash", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage but its earliest occurrence: where it is, and the document that keeps it."""
+    found = linedup.removed_spans(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("first_id", "first_doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -65,6 +71,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_secrets": op8_secrets,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 #: Words of a text as op6 takes them, A-Z lower-cased.
 _OP6_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

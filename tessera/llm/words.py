@@ -98,24 +98,23 @@ def string_hashes(strings: pa.Array) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     offsets = np.frombuffer(strings.buffers()[1], np.int64, n + 1, strings.offset * 8)
-    lengths = np.diff(offsets)
-    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return slice_hashes(np.frombuffer(strings.buffers()[2] or b"", np.uint8), offsets[:-1], np.diff(offsets))
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hash of each slice of a byte array."""
     out = mix64(lengths.astype(np.uint64) + _ODD)
     order = np.argsort(lengths, kind="stable")
-    starts = offsets[:-1] - offsets[0]
     sorted_lengths = lengths[order]
-    # Eight bytes at a time, over the strings that are that long.
+    # Eight bytes at a time, over the slices that are that long.
     step = 0
-    longest = int(sorted_lengths[-1])
+    longest = int(sorted_lengths[-1]) if len(order) else 0
     while step < longest:
         live = order[np.searchsorted(sorted_lengths, step, side="right") :]
         word = np.zeros(len(live), np.uint64)
-        for k in range(8):
-            if step + k >= longest:
-                break
-            at = live[lengths[live] > step + k] if step + k else live
-            where = slice(len(live) - len(at), None)
-            word[where] |= data[starts[at] + step + k].astype(np.uint64) << np.uint64(8 * k)
+        for k in range(min(8, longest - step)):
+            skip = int(np.searchsorted(sorted_lengths, step + k, side="right")) - (len(order) - len(live))
+            word[skip:] |= data[starts[live[skip:]] + step + k].astype(np.uint64) << np.uint64(8 * k)
         out[live] = mix64((out[live] ^ word) * _ODD + np.uint64(step + 1))
         step += 8
     return out
