@@ -14,7 +14,8 @@ class that shares most buckets with others; the confirmed links merge classes
 into components.  Then buckets that still hold several components are completed:
 in blocks of bounded size, all pairs of different components are screened by
 their signatures, each in the first band that they share, and the likely ones
-are confirmed as well.  No pair that shares a band is left out, other than pairs
+are confirmed inside the block, which returns only the links that join
+components.  No pair that shares a band is left out, other than pairs
 already in one component and pairs whose signatures agree in under ``screen`` of
 the coordinates (for a similarity of 0.8, five standard deviations off).
 
@@ -127,35 +128,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _blocks(rows: DataFrame, size: int, per_band: int, screen: float, percent: int) -> DataFrame:
-    """Likely pairs of different components, from rows of buckets dealt out in blocks."""
-    columns = ["bucket", "band", "low", "high", "block", "class", "label", "n_shingles", "signature"]
+_GROUP = ["bucket", "low", "high"]
+_MEMBER = "bucket long, band int, low long, high long, block long, class long, label long, n_shingles long, signature binary"
 
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        cols = {c: np.asarray(t[c]) for c in columns[:-1]}
-        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(-1, size)
-        edges = np.flatnonzero(np.concatenate(([True], (cols["bucket"][1:] != cols["bucket"][:-1]) | (cols["low"][1:] != cols["low"][:-1]) | (cols["high"][1:] != cols["high"][:-1]), [True])))
-        left, right = [], []
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if cols["low"][s] == cols["high"][s]:
-                i, j = np.triu_indices(e - s, 1)
-            else:
-                first = np.flatnonzero(cols["block"][s:e] == cols["low"][s])
-                second = np.flatnonzero(cols["block"][s:e] == cols["high"][s])
-                i, j = np.repeat(first, len(second)), np.tile(second, len(first))
-            i, j = i + s, j + s
-            n, m = cols["n_shingles"][i], cols["n_shingles"][j]
-            ok = (cols["label"][i] != cols["label"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            i, j = i[ok], j[ok]
-            for k in range(0, len(i), 1 << 14):
-                a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                same = sig[a] == sig[b]
-                shared = same.reshape(len(a), -1, per_band).all(axis=2)
-                ok = (same.mean(axis=1) >= screen) & (shared.argmax(axis=1) == cols["band"][s])
-                left.append(cols["class"][a[ok]])
-                right.append(cols["class"][b[ok]])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+def _by_group(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the adjoining rows of whole groups (bucket and pair of blocks), many groups at a time."""
 
     def run(batches):
         held: pa.Table | None = None
@@ -164,20 +142,108 @@ def _blocks(rows: DataFrame, size: int, per_band: int, screen: float, percent: i
                 continue
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            last = [held[c][-1].as_py() for c in ("bucket", "low", "high")]
-            tail = held.num_rows
-            keys = [np.asarray(held[c]) for c in ("bucket", "low", "high")]
-            same = (keys[0] == last[0]) & (keys[1] == last[1]) & (keys[2] == last[2])
-            tail = int(np.argmax(same))  # a group's rows are adjacent and few
-            a, b = pairs(held.slice(0, tail).combine_chunks()) if tail else (np.zeros(0, np.int64),) * 2
+            same = np.ones(held.num_rows, bool)
+            for c in _GROUP:
+                own = np.asarray(held[c])
+                same &= own == own[-1]
+            tail = int(np.argmax(same))  # the last group may go on in the next batch
+            if tail:
+                yield from work(held.slice(0, tail).combine_chunks()).to_batches()
             held = held.slice(tail)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
         if held is not None:
-            a, b = pairs(held.combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield from work(held.combine_chunks()).to_batches()
+
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, schema)
+
+
+def _likely(t: pa.Table, size: int, per_band: int, screen: float, percent: int):
+    """Per group: its first row and the next group's, and the row pairs whose signatures are alike in the first band they share."""
+    cols = {c: np.asarray(t[c]) for c in ("bucket", "band", "low", "high", "block", "label", "n_shingles")}
+    sig = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(-1, size)
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in _GROUP], axis=0)
+    edges = np.append(np.flatnonzero(fresh), len(sig))
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if cols["low"][s] == cols["high"][s]:
+            i, j = np.triu_indices(e - s, 1)
+        else:
+            first = np.flatnonzero(cols["block"][s:e] == cols["low"][s])
+            second = np.flatnonzero(cols["block"][s:e] == cols["high"][s])
+            i, j = np.repeat(first, len(second)), np.tile(second, len(first))
+        i, j = i + s, j + s
+        n, m = cols["n_shingles"][i], cols["n_shingles"][j]
+        ok = (cols["label"][i] != cols["label"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        i, j = i[ok], j[ok]
+        good = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 13):
+            same = sig[i[k : k + (1 << 13)]] == sig[j[k : k + (1 << 13)]]
+            shared = same.reshape(len(same), -1, per_band).all(axis=2)
+            good[k : k + (1 << 13)] = (same.mean(axis=1) >= screen) & (shared.argmax(axis=1) == cols["band"][s])
+        yield s, e, i[good], j[good]
+
+
+def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (i, j) of sets."""
+    if len(i) <= 8 * len(sets):
+        out = np.zeros(len(i), np.int64)
+        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            x, y = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
+            out[k] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+        return out
+    # Many pairs of few sets: products of indicator matrices, in slices of the shingles that several sets have.
+    values, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    common = np.flatnonzero(many > 1)
+    place = np.full(len(values), -1)
+    place[common] = np.arange(len(common))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, len(common), 1 << 13):
+        inside = (column >= k) & (column < k + (1 << 13))
+        part = np.zeros((len(sets), min(1 << 13, len(common) - k)), np.float32)
+        part[row[inside], column[inside] - k] = 1.0
+        total += part @ part.T
+    return total[i, j].astype(np.int64)
+
+
+def _completed(rows: DataFrame, sets: DataFrame, size: int, per_band: int, screen: float, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket; of the confirmed ones, those that join them."""
+
+    def screened(t: pa.Table) -> pa.Table:
+        keep = np.zeros(t.num_rows, bool)
+        for _, _, i, j in _likely(t, size, per_band, screen, percent):
+            keep[i] = keep[j] = True
+        return t.filter(pa.array(keep))
+
+    def confirmed(t: pa.Table) -> pa.Table:
+        left, right = [], []
+        node, label = np.asarray(t["class"]), np.asarray(t["label"])
+        blobs = t["shingles"].to_pylist()
+        for s, e, i, j in _likely(t, size, per_band, screen, percent):
+            if not len(i):
+                continue
+            own = [np.frombuffer(x, np.uint64) for x in blobs[s:e]]
+            both = _intersections(own, i - s, j - s)
+            count = np.array([len(x) for x in own])
+            parent: dict[int, int] = {}
+
+            def root(x: int, parent: dict[int, int] = parent) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for k in np.flatnonzero(100 * both >= percent * (count[i - s] + count[j - s] - both)).tolist():
+                x, y = root(int(label[i[k]])), root(int(label[j[k]]))
+                if x != y:
+                    parent[x] = y
+                    left.append(node[i[k]])
+                    right.append(node[j[k]])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    keys = ["bucket", "low", "high"]
-    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    likely = _by_group(rows.select(*[c.split()[0] for c in _MEMBER.split(", ")]), screened, _MEMBER)
+    return _by_group(likely.join(sets, "class"), confirmed, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, screen: float = 0.58) -> DataFrame:
@@ -224,7 +290,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     dealt = members.join(apart, "bucket").withColumn("blocks", F.ceil(F.col("many") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    more = written(_confirm(_blocks(dealt, size, rows, screen, percent).distinct(), sets, percent), "links")
+    more = written(_completed(dealt, sets, size, rows, screen, percent), "links")
     labels = connected_components(links.unionByName(more)) if more.limit(1).count() else labels
 
     grouped = classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("label", "class").alias("label"))
