@@ -21,8 +21,8 @@ mark itself, which is spelt in bytes.
 
 Defined results
 ---------------
-* text null: ids and scores are null; text empty: one empty segmentation... of
-  the leading space alone, which every text has;
+* text null: ids and scores are null; text empty: the segmentation of the one
+  leading space that every text has;
 * fewer than ``n`` segmentations: as many as there are;
 * ties: the segmentation whose last differing piece is the shorter comes first,
   the same on every machine;
@@ -34,6 +34,8 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,6 +55,14 @@ class Lattice:
     def __init__(self, pieces: P.Pieces):
         self.pieces = P.Pieces([t.replace(P.SPACE, " ") for t in pieces.texts], pieces.scores, pieces.ids, pieces.byte_ids, pieces.byte_scores)
         self.unknown = float(pieces.scores.min() - 10.0) if len(pieces.scores) else -10.0
+        spelling = [b""] * (int(max(pieces.ids.max(initial=0), pieces.byte_ids.max(initial=0))) + 1)
+        for text, i in zip(self.pieces.texts, pieces.ids.tolist(), strict=True):
+            spelling[i] = text.encode()
+        for b, i in enumerate(pieces.byte_ids.tolist()):
+            if i >= 0:
+                spelling[i] = bytes([b])
+        self.spelt = np.frombuffer(b"".join(spelling), np.uint8)
+        self.spelt_lengths = np.array([len(x) for x in spelling], np.int64)
 
     def nbest(self, strings: list[str], n: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Scores (a row per string, -inf where there are fewer), and for each rank the ids and their offsets."""
@@ -62,7 +72,7 @@ class Lattice:
         scores[lengths == 0, 0] = 0.0
         rows: list[list[np.ndarray]] = [[] for _ in range(n)]
         flat: list[list[np.ndarray]] = [[] for _ in range(n)]
-        for own, matrix in P.by_length(codes, lengths, 1 << 13):
+        for own, matrix in P.by_length(codes, lengths, 1 << 12):
             found, edges = self._search(matrix, n)
             scores[own] = found
             for k in range(n):
@@ -192,11 +202,14 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
 
 
-def encode_texts(lattice: Lattice, texts: pa.Array, n: int = 1) -> list[list[tuple[float, np.ndarray]]]:
-    """For each text its n best segmentations as (score, ids), best first."""
+def encode_texts(lattice: Lattice, texts: pa.Array, n: int = 1, rows: int = ROWS_OUT) -> Iterator[list[list[tuple[float, np.ndarray]]]]:
+    """The n best segmentations of each text as (score, ids), best first, for ``rows`` texts at a time.
+
+    Each distinct unit of all the texts is searched once.
+    """
     texts = words.as_strings(texts)
     if not len(texts):
-        return []
+        return
     unit, strings, per_text = _units(texts)
     spans = [[s[k : k + P.SPAN] for k in range(0, len(s), P.SPAN)] if len(s) > P.SPAN else [s] for s in strings]
     if any(len(x) > 1 for x in spans):  # long units become several
@@ -207,23 +220,28 @@ def encode_texts(lattice: Lattice, texts: pa.Array, n: int = 1) -> list[list[tup
         unit = _ragged(first[unit], many[unit])
         strings = [s for x in spans for s in x]
     scores, found = lattice.nbest(strings, n)
+    del strings, spans
     best, offsets = found[0]
     sizes = np.diff(offsets)
-    flat = best[_ragged(offsets[:-1][unit], sizes[unit])]
-    ends = np.cumsum(per_text)
-    owner = np.repeat(np.arange(len(per_text)), per_text)
-    total = np.bincount(owner, scores[unit, 0], len(per_text))
-    id_ends = np.cumsum(np.bincount(owner, sizes[unit], len(per_text)).astype(np.int64))
-    out: list[list[tuple[float, np.ndarray]]] = []
     loss = scores[:, 0] - scores[:, 1] if n > 1 else None
-    for i in range(len(per_text)):
-        ids = flat[(id_ends[i - 1] if i else 0) : id_ends[i]]
-        ranked = [(float(total[i]), ids)]
-        if n > 1:
-            own = unit[ends[i] - per_text[i] : ends[i]]
-            ranked += _others(own, loss[own], scores, found, sizes[own], ids, float(total[i]), n)
-        out.append(ranked)
-    return out
+    ends = np.cumsum(per_text)
+    for k in range(0, len(per_text), rows):
+        counts = per_text[k : k + rows]
+        part = unit[ends[k] - counts[0] : ends[k + len(counts) - 1]]
+        flat = best[_ragged(offsets[:-1][part], sizes[part])]
+        owner = np.repeat(np.arange(len(counts)), counts)
+        total = np.bincount(owner, scores[part, 0], len(counts))
+        id_ends = np.cumsum(np.bincount(owner, sizes[part], len(counts)).astype(np.int64))
+        unit_ends = np.cumsum(counts)
+        out = []
+        for i in range(len(counts)):
+            ids = flat[(id_ends[i - 1] if i else 0) : id_ends[i]]
+            ranked = [(float(total[i]), ids)]
+            if n > 1:
+                own = part[unit_ends[i] - counts[i] : unit_ends[i]]
+                ranked += _others(own, loss[own], scores, found, sizes[own], ids, float(total[i]), n)
+            out.append(ranked)
+        yield out
 
 
 def _others(own: np.ndarray, loss: np.ndarray, scores: np.ndarray, found: list, sizes: np.ndarray, ids: np.ndarray, total: float, n: int) -> list[tuple[float, np.ndarray]]:
@@ -250,16 +268,7 @@ def _others(own: np.ndarray, loss: np.ndarray, scores: np.ndarray, found: list,
 
 def decode_ids(lattice: Lattice, lists: list[np.ndarray]) -> list[str]:
     """Texts of id lists, vectorised over all of them."""
-    pieces = lattice.pieces
-    size = int(max(pieces.ids.max(initial=0), pieces.byte_ids.max(initial=0))) + 1
-    spelling = [b""] * size
-    for text, i in zip(pieces.texts, pieces.ids.tolist(), strict=True):
-        spelling[i] = text.encode()
-    for b, i in enumerate(pieces.byte_ids.tolist()):
-        if i >= 0:
-            spelling[i] = bytes([b])
-    data = np.frombuffer(b"".join(spelling), np.uint8)
-    lengths = np.array([len(x) for x in spelling], np.int64)
+    data, lengths = lattice.spelt, lattice.spelt_lengths
     starts = np.cumsum(lengths) - lengths
     ids = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int64)
     raw = data[_ragged(starts[ids], lengths[ids])].tobytes()
@@ -274,18 +283,20 @@ def decode_ids(lattice: Lattice, lists: list[np.ndarray]) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, text: str = "text", n: int = 2, path: str = P.MODEL_PATH) -> DataFrame:
-    """``docs`` with ``ids`` (n best lists of piece ids, best first) and ``scores``; one map, no shuffle."""
-    docs = docs.drop("ids", "scores")
+def encode(docs: DataFrame, text: str = "text", n: int = 2, path: str = P.MODEL_PATH, decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (n best lists of piece ids, best first) and ``scores``; one map, no shuffle.
+
+    With ``decoded``, a column of that name has the text of the best ids, decoded in the same pass.
+    """
+    docs = docs.drop("ids", "scores", *([decoded] if decoded else []))
     shared = docs.sparkSession.sparkContext.broadcast(Lattice(P.load(path)))  # one fixed vocabulary
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("scores", T.ArrayType(T.DoubleType()))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
 
     def run(batches):
-        for whole in words.chunks(batches, text, 8 << 20):
-            found = encode_texts(shared.value, whole[text], n)
+        for whole in words.chunks(batches, text, 12 << 20):
             null = np.asarray(whole[text].is_null())
-            for k in range(0, whole.num_rows, ROWS_OUT):
-                part = found[k : k + ROWS_OUT]
+            for at, part in enumerate(encode_texts(shared.value, whole[text], n)):
+                k = at * ROWS_OUT
                 lists = [ids for own in part for _, ids in own]
                 inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
                 mask = pa.array(null[k : k + ROWS_OUT])
@@ -293,6 +304,8 @@ def encode(docs: DataFrame, text: str = "text", n: int = 2, path: str = P.MODEL_
                 scores = pa.array(np.array([s for own in part for s, _ in own], np.float64))
                 t = whole.slice(k, ROWS_OUT)
                 t = t.append_column("ids", pa.ListArray.from_arrays(offsets, inner, mask=mask)).append_column("scores", pa.ListArray.from_arrays(offsets, scores, mask=mask))
+                if decoded:
+                    t = t.append_column(decoded, pa.array(decode_ids(shared.value, [own[0][1] for own in part]), pa.string(), mask=null[k : k + ROWS_OUT]))
                 yield from t.combine_chunks().to_batches()
 
     return docs.mapInArrow(run, schema)
