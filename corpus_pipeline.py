@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid
-from tessera.llm.runtime import doc_bucket, shared_dir, table
+from tessera.llm import decontam, langid, neardup, secrets, spm
+from tessera.llm.runtime import doc_bucket, shared_dir, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,7 +20,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 0.4)).select(*COLUMNS)
 
 
-STAGES = [("language", language)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): that of the smallest id."""
+    gone = written(neardup.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct(), "gone")
+    docs = docs.select(*COLUMNS)
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.limit(1).count():  # repeated rows: one of each stays
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of ten words, or any whole shorter item, of the benchmark."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), carry=("text", "lang", "source", "n_chars"))
+    return found.where("not contaminated").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked and their lengths counted anew."""
+    found = secrets.scan(docs.select(*COLUMNS), redacted=True)
+    n_chars = F.when(F.size("spans") > 0, F.char_length("redacted")).otherwise(F.col("n_chars")).cast("long")
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the piece ids of their best segmentation."""
+    found = spm.encode(docs.select(*COLUMNS), n=1)
+    return found.select(*COLUMNS, F.get("ids", F.lit(0)).alias("ids"), F.get("scores", F.lit(0)).alias("score"))
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", redact_secrets), ("sentencepiece", encode)]
 
 #: No SQL form: the language model is learned and the segmentation needs a vocabulary file.
 ORACLE_SQL = None

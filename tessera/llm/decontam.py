@@ -71,10 +71,11 @@ def windows(items: DataFrame, key: str, text: str, k: int, width: int) -> DataFr
     return long.unionByName(short).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = K, width: int = WIDTH, broadcast_rows: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = K, width: int = WIDTH, broadcast_rows: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: (``key``, n_words, n_hit, n_items, item_ids, spans, contaminated).
 
     ``spans`` are the windows found (first word, end exclusive), in order; they may overlap.
+    ``carry`` names further columns of ``docs`` to return, row by row.
     """
     tests = windows(items, item_key, item_text, k, width)
     prints = tests.select("fingerprint", "length").distinct()
@@ -95,14 +96,15 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     hits = hits.groupBy("key", "s", "length", "words").agg(F.collect_set("item_id").alias("items"))
     hits = hits.groupBy("key").agg(F.collect_list(F.struct("s", "length", "words", "items")).alias("hits"))
 
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("t"))  # the text is shuffled, not its words
-    joined = texts.join(hits, F.col("doc").eqNullSafe(F.col("key")), "left").select("doc", words_of(F.col("t")).alias("w"), "hits")
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("t"), carried.alias("c"))  # the text is shuffled, not its words
+    joined = texts.join(hits, F.col("doc").eqNullSafe(F.col("key")), "left").select("doc", words_of(F.col("t")).alias("w"), "hits", "c")
     none = "cast(array() as array<struct<s: int, length: int, words: string, items: array<string>>>)"
     equal = F.expr(f"coalesce(array_sort(filter(hits, x -> array_join(slice(w, x.s + 1, x.length), ' ') = x.words)), {none})")
-    out = joined.select(F.col("doc").alias(key), F.expr("cast(size(w) as bigint)").alias("n_words"), equal.alias("hits"))
+    out = joined.select(F.col("doc").alias(key), F.expr("cast(size(w) as bigint)").alias("n_words"), equal.alias("hits"), "c")
     # Windows come in order of start; each adds what lies beyond the farthest end so far.
     n_hit = F.expr("aggregate(hits, struct(0 as far, 0L as n), (acc, x) -> struct(greatest(acc.far, x.s + x.length) as far, acc.n + greatest(0, x.s + x.length - greatest(acc.far, x.s)) as n), acc -> acc.n)")
     ids = F.expr("array_sort(array_distinct(flatten(transform(hits, x -> x.items))))")
     spans = F.expr("transform(hits, x -> struct(x.s as start, x.s + x.length as end))")
     out = out.withColumn("item_ids", ids)
-    return out.select(key, "n_words", n_hit.alias("n_hit"), F.expr("cast(size(item_ids) as bigint)").alias("n_items"), "item_ids", spans.alias("spans"), (F.size("hits") > 0).alias("contaminated"))
+    return out.select(key, "n_words", n_hit.alias("n_hit"), F.expr("cast(size(item_ids) as bigint)").alias("n_items"), "item_ids", spans.alias("spans"), (F.size("hits") > 0).alias("contaminated"), *[F.col("c")[c].alias(c) for c in carry])
