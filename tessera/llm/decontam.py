@@ -64,7 +64,8 @@ def windows(items: DataFrame, key: str, text: str, k: int, width: int) -> DataFr
         base.where(f"size(w) >= {width}")
         .withColumn("h", F.expr(_gram_hashes("w", k)))
         .withColumn("p", F.expr(_chosen("h", width - k + 1)))
-        .select("item_id", "w", "h", F.posexplode("p").alias("s", "p"))
+        # The outer form: the filter inferred for the other would repeat all of the above for every element.
+        .select("item_id", "w", "h", F.posexplode_outer("p").alias("s", "p"))
         .select(F.expr("h[p]").alias("fingerprint"), F.expr("p - s").alias("at"), F.lit(width).alias("length"), F.expr(f"array_join(slice(w, s + 1, {width}), ' ')").alias("words"), "item_id")
     )
     short = base.where(f"size(w) < {width}").select(F.expr("xxhash64(array_join(w, ' '))").alias("fingerprint"), F.lit(0).alias("at"), F.expr("size(w)").alias("length"), F.expr("array_join(w, ' ')").alias("words"), "item_id")
