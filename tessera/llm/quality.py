@@ -47,14 +47,15 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in names]
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = docs.select(*kept, F.array_remove(F.split(whole, SPACES, -1), "").alias("_w"), lines.alias("_l"), F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
+    # The input's columns travel in one struct, so that none clashes with a step's.
+    step = docs.select(F.struct(*[F.col(c) for c in kept]).alias("_row"), F.array_remove(F.split(whole, SPACES, -1), "").alias("_w"), lines.alias("_l"), F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
     step = step.withColumn("_h", F.expr("case when size(_w) > 3 then transform(sequence(0, size(_w) - 3), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2))) end"))
     # Only texts with a repeated window are sorted; equal hashes are then neighbours.
     step = step.withColumn("_s", F.expr("case when size(array_distinct(_h)) < size(_h) then array_sort(transform(_h, (x, i) -> struct(x as h, i as i))) end"))
     step = step.withColumn("_p", F.expr("array_sort(transform(filter(_s, (x, i) -> x.h = get(_s, i - 1).h or x.h = get(_s, i + 1).h), x -> x.i))"))
     repeat = F.expr("coalesce(aggregate(_p, struct(-3 as far, 0L as n), (a, x) -> struct(x as far, a.n + least(3, x - a.far) as n), a -> a.n), 0L)")
     out = step.select(
-        *kept, F.size("_w").cast("long").alias("n_words"), F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"), "n_symbols",
+        "_row.*", F.size("_w").cast("long").alias("n_words"), F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), repeat.alias("n_repeat_words"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -114,5 +115,5 @@ def judged(measured: DataFrame, cutoffs: DataFrame, stratum: str, broadcast_rows
 
 def filtered(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """One row per document: key, stratum, the measures, base_failed and kept."""
-    measured = written(measures(docs.select(key, F.col(stratum).alias("_s"), F.col(text).alias("_t")), "_t").drop("_t").withColumnRenamed("_s", stratum), "measures")
+    measured = written(measures(docs.select(*dict.fromkeys([key, stratum, text])), text).drop(text), "measures")
     return judged(measured, thresholds(measured, labels, stratum, key, label, alpha, delta), stratum)
