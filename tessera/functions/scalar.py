@@ -314,28 +314,25 @@ def hex_format(x) -> Column:
     return F.lpad(F.lower(F.hex(lit(x).cast("bigint"))), 16, "0")
 
 
-def normalize(s, form: str = "NFC") -> Column:
-    import unicodedata
+def _batched(fn: Callable, returns: str) -> Callable[[Column], Column]:
+    """A function of one text, over Arrow batches; null stays null."""
 
-    import pandas as pd
+    def run(x):
+        return x.map(lambda v: None if v is None else fn(v))
 
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else unicodedata.normalize(form, v))
+    return F.pandas_udf(run, returns, F.PandasUDFType.SCALAR)
 
-    return run(lit(s))
 
+def normalize(s, form: str = "NFC") -> Column:
+    import unicodedata
 
-def wrap(s, width: int) -> Column:
-    import textwrap
+    return _batched(lambda v: unicodedata.normalize(form, v), "string")(lit(s))
 
-    import pandas as pd
 
-    @F.pandas_udf("array<string>")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else textwrap.wrap(v, width))
+def wrap(s, width: int) -> Column:
+    import textwrap
 
-    return run(lit(s))
+    return _batched(lambda v: textwrap.wrap(v, width), "array<string>")(lit(s))
 
 
 def translate(s, table: dict[str, str]) -> Column:
@@ -343,15 +340,8 @@ def translate(s, table: dict[str, str]) -> Column:
     if all(len(v) <= 1 for v in table.values()):
         whole = [(k, v) for k, v in table.items() if v] + [(k, v) for k, v in table.items() if not v]
         return F.translate(lit(s), "".join(k for k, _ in whole), "".join(v for _, v in whole))
-    import pandas as pd
-
     codes = str.maketrans(table)
-
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else v.translate(codes))
-
-    return run(lit(s))
+    return _batched(lambda v: v.translate(codes), "string")(lit(s))
 
 
 def fnv1a(s) -> Column:
