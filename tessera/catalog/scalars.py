@@ -100,7 +100,7 @@ _CASES = {
     "list_sort": ("part", "p_partkey", lambda: F.array_join(S["list_sort"](F.split("p_name", "")), ""), "array_to_string(list_sort(string_split(p_name, '')), '')"),
     "list_unique": ("part", "p_partkey", lambda: F.size(S["list_unique"](F.split("p_name", ""))), "cast(len(list_distinct(string_split(p_name, ''))) as int)"),
     "list_index_of": ("part", "p_partkey", lambda: S["index_of"](F.split("p_name", ""), "l"), "case when instr(p_name, 'l') > 0 then cast(instr(p_name, 'l') - 1 as bigint) end"),
-    "list_sum": ("embeddings", "vec_id", lambda: F.round(S["list_sum"](c("embedding")), 2), "round(list_sum(list_transform(embedding, lambda x: x::double)), 2)"),
+    "list_sum": ("embeddings", "vec_id", lambda: F.round(S["list_sum"](c("embedding")), 2) + 0.0, "round(list_sum(list_transform(embedding, lambda x: x::double)), 2) + 0.0::double"),
     "list_slice": ("part", "p_partkey", lambda: F.array_join(S["list_slice"](F.split("p_name", ""), 1, -1), ""), "substr(p_name, 2, length(p_name) - 2)"),
     "list_contains": ("part", "p_partkey", lambda: S["list_contains"](F.split("p_name", ""), "z"), "contains(p_name, 'z')"),
     "dt_year": ("orders", "o_orderkey", lambda: S["date_part"]("year", c("o_orderdate")), "cast(year(o_orderdate) as int)"),

@@ -71,7 +71,7 @@ _SESSION = "select event_id, sum(n) over (partition by user_id order by t, event
 def _gap_fill(mode):
     def run(spark, sf_dir):
         e = load(spark, sf_dir, "events").withColumn("t", micros("ts"))
-        return Frame(e, ["event_id"]).gap_fill(["event_type"], "t", _STEP, ["value"], mode).df.select("event_type", "t", F.round("value", 3).alias("value"))
+        return Frame(e, ["event_id"]).gap_fill(["event_type"], "t", _STEP, ["value"], mode).df.select("event_type", "t", "value")
 
     return run
 
@@ -113,9 +113,9 @@ _CASES = {
     "sessions": (_sessions(), _SESSION.format(gap=_GAP, d=0, x=_X)),
     "sessions_with_duration": (_sessions(duration="d"), _SESSION.format(gap=_GAP, d="d", x=_X)),
     "sessions_max": (_sessions(longest=14_400_000_000), None),
-    "gap_fill": (_gap_fill("none"), f"{_GRID} select event_type, b as t, round(value, 3) as value from j"),
-    "gap_fill_locf": (_gap_fill("locf"), f"{_GRID} select event_type, b as t, round(last_value(value ignore nulls) over ({_W} unbounded preceding), 3) as value from j"),
-    "gap_fill_linear": (_gap_fill("linear"), f"{_GRID}, k as (select *, last_value(case when value is not null then b end ignore nulls) over ({_W} unbounded preceding) as a, first_value(case when value is not null then b end ignore nulls) over ({_W} between current row and unbounded following) as z, last_value(value ignore nulls) over ({_W} unbounded preceding) as x, first_value(value ignore nulls) over ({_W} between current row and unbounded following) as y from j) select event_type, b as t, round(coalesce(value, x + (y - x) * (b - a)::double / (z - a)), 3) as value from k"),
+    "gap_fill": (_gap_fill("none"), f"{_GRID} select event_type, b as t, value from j"),
+    "gap_fill_locf": (_gap_fill("locf"), f"{_GRID} select event_type, b as t, last_value(value ignore nulls) over ({_W} unbounded preceding) as value from j"),
+    "gap_fill_linear": (_gap_fill("linear"), f"{_GRID}, k as (select *, last_value(case when value is not null then b end ignore nulls) over ({_W} unbounded preceding) as a, first_value(case when value is not null then b end ignore nulls) over ({_W} between current row and unbounded following) as z, last_value(value ignore nulls) over ({_W} unbounded preceding) as x, first_value(value ignore nulls) over ({_W} between current row and unbounded following) as y from j) select event_type, b as t, coalesce(value, x + (y - x) * (b - a)::double / (z - a)) as value from k"),
     "time_range": (lambda s, d: spans(s, d).where((c("t") >= 1704100000000000) & (c("t") < 1704300000000000)), f"select * from {_X} where t >= 1704100000000000 and t < 1704300000000000"),
     "statistics": (_statistics, f"select count(*) as n, round(avg(d), 2) as mean, round(stddev_samp(d), 0) as std, min(t) as first, max(t + d) as last from {_X}"),
     "gaps_p99": (_gaps_p99, f"select event_type, round(quantile_cont(g, 0.99), 2) as p99 from (select event_type, t - lag(t) over (partition by user_id order by t, event_id) as g from {_X}) group by 1"),
