@@ -51,6 +51,9 @@ def cut(texts: pa.Array, unit: str = "passage") -> dict[str, np.ndarray]:
     base = int(offsets[0])
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[base : int(offsets[-1])]
     offsets = offsets - base
+    none = {k: np.zeros(0, np.int64) for k in ("text", "place", "digest", "start", "end", "words")}
+    if not len(data):
+        return none
     space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
     # Word starts and ends; a text's end also ends a word.
     inner = ~space
@@ -63,7 +66,7 @@ def cut(texts: pa.Array, unit: str = "passage") -> dict[str, np.ndarray]:
     after &= ~begins_text[1:]
     end = np.flatnonzero(inner & ~after) + 1
     if not len(start):
-        return {k: np.zeros(0, np.int64) for k in ("text", "place", "start", "end", "words")} | {"digest": np.zeros(0, np.int64)}
+        return none
     hashes = words.slice_hashes(data, start, end - start)
     doc = np.searchsorted(offsets, start, side="right") - 1
     breaks = np.concatenate(([0], np.cumsum(data == 0x0A)))
@@ -140,8 +143,8 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "passage", min_words: int = 20) -> DataFrame:
     """``docs`` without the repeats; ``removed`` lists their (start, end) in the original text."""
     spans = written(removed_spans(docs, key, text, unit, min_words), "spans")
-    lists = spans.groupBy(F.col(key).alias("span_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    joined = docs.drop("removed").join(lists, F.col(key) == F.col("span_key"), "left").drop("span_key")
+    lists = spans.groupBy(F.col(key).alias("__span_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    joined = docs.drop("removed").join(lists, F.col(key) == F.col("__span_key"), "left").drop("__span_key")
 
     def run(batches):
         for batch in batches:
