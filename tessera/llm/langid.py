@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        for t in words.chunks(batches, text, 24 << 20):  # distinct words are scored once in each
+        for t in words.chunks(batches, text, 12 << 20):  # distinct words are scored once in each
             names, score = score_texts(shared.value, t[text])
             t = t.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(score))
             yield from t.to_batches()

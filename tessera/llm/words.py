@@ -10,6 +10,7 @@ A *word* is a maximal run of characters other than ``\\x20`` and
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,14 @@ def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def _give_back() -> None:
+    """Freed memory returns to the system, so that a worker that serves many stages stays small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Regroup record batches so that each table holds about ``most`` text bytes."""
     held: list[pa.RecordBatch] = []
@@ -58,6 +67,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             if stop == start + 1 and held and int(ends[stop - 1]) - before > most - size:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                _give_back()
                 continue
             held.append(batch.slice(start, stop - start))
             size += int(ends[stop - 1]) - before
@@ -65,8 +75,10 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                _give_back()
     if held:
         yield pa.Table.from_batches(held)
+        _give_back()
 
 
 def split(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
