@@ -1,10 +1,9 @@
 """Nesting of intervals in lanes: call trees and flame graphs.
 
 A lane's intervals either nest or are apart.  The stack walk needs a lane's rows
-in order of start, longest first; it is a grouped Arrow function over one lane,
-the natural unit of a trace (one thread).  Lanes are cut at idle points first, so
-that a task holds the rows between two moments with nothing running, not a whole
-lane.
+in order of start, longest first; it is a grouped Arrow function.  Lanes are cut
+at idle points first, and ``ISLANDS`` stretches between such points make a group,
+so that a task never holds a whole lane.
 """
 
 from __future__ import annotations
@@ -14,12 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stretches of a lane without an idle point that are walked at once.
+ISLANDS = 1000
+
+
 def _islands(df: DataFrame, lane: list[str], start: str, duration: str) -> DataFrame:
     order = Window.partitionBy(*lane).orderBy("_s", F.desc("_e"))
     rows = df.withColumn("_s", F.col(start).cast("bigint")).withColumn("_e", F.col("_s") + F.coalesce(F.col(duration), F.lit(0)).cast("bigint"))
     before = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = (before.isNull() | (F.col("_s") >= before)).cast("int")
-    return rows.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return rows.withColumn("_new", fresh).withColumn("_island", F.floor(F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) / ISLANDS)).drop("_new")
 
 
 def call_tree(df: DataFrame, lane: list[str], start: str, duration: str, name: str, key: str) -> DataFrame:

@@ -157,3 +157,29 @@ def test_fold_equals_an_aggregate(spark):
 
     got = dict(values(fold(df, ["k"], partial, combine, finish, "s long, n long", "mean double"), "k", "mean"))
     assert got == {k: sum(range(k, 1000, 5)) / 200 for k in range(5)}
+
+
+def test_columns_and_groups(spark):
+    from tessera.facade import Columns, Grouped
+
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "b", None), (4, "b", -8.0), (5, None, 5.0)], "i long, k string, v double")
+    f = Frame(df, ["i"])
+    both = lambda fr: [r["v"] for r in fr.df.orderBy("i").collect()]
+    assert both(Columns(f).binary("rsub", 10)) == [9.0, 7.0, None, 18.0, 5.0]
+    assert both(Columns(f).clip(0, 2)) == [1.0, 2.0, None, 0.0, 2.0]
+    assert both(Columns(f, ["k"]).transform("cum_sum")) == [1.0, 4.0, None, -8.0, 5.0]
+    assert both(Columns(f).rolling(2, "sum", 1)) == [1.0, 4.0, 3.0, -8.0, -3.0]
+    g = Grouped(f, ["k"])
+    assert g.ngroups() == 2 and g.get_group("a").df.count() == 2
+    assert sorted(r["i"] for r in g.filter(lambda: F.sum("v") > 0).df.collect()) == [1, 2]
+    assert dict(values(Columns(f, ["k"]).agg("mean").df, "k", "v")) == {"a": 2.0, "b": -8.0}
+    assert both(g.transform("max"))[:2] == [3.0, 3.0]
+
+
+def test_best_fit(spark):
+    from tessera.operators.distributions import best_fit
+
+    r = random.Random(2)
+    rows = [("n", r.gauss(5, 5)) for _ in range(800)] + [("e", r.expovariate(0.1)) for _ in range(800)] + [("l", r.lognormvariate(1, 1)) for _ in range(800)]
+    got = dict(values(best_fit(spark.createDataFrame(rows, "k string, v double"), ["k"], "v"), "k", "distribution"))
+    assert got == {"n": "normal", "e": "exponential", "l": "lognormal"}
