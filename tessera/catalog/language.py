@@ -70,6 +70,8 @@ _CASES = {
     "semi_query": ("from orders | where o_custkey in (from customer | where c_acctbal > 9000 | select c_custkey) | select o_orderkey", "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 9000)"),
     "not_in_query": ("from orders | where o_custkey not in (from customer | where c_acctbal > 0 | select c_custkey) | select o_orderkey", "select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)"),
     "scalar_query": ("from events | where value > (from events | agg { m = mean(value) }) | select event_id", "select event_id from ev where value > (select avg(value) from ev)"),
+    "correlated_query": ("from events | where value > (from events | where tid == ^.tid and pid < 3 | agg { m = mean(value) }) | select event_id", "select event_id from ev e where value > (select avg(value) from ev i where i.tid = e.tid and i.pid < 3)"),
+    "correlated_count": ("from customer | derive n = (from orders | where o_custkey == ^.c_custkey | agg { n = count() }) | select c_custkey, n", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n from customer"),
     "arrow": ('from customer | where c_nationkey -> nation.n_name == "NATION_3" or c_acctbal > 9900 | select c_custkey', "select c_custkey from customer join nation on c_nationkey = n_nationkey where n_name = 'NATION_3' or c_acctbal > 9900"),
     "union": ("let a = from events | where pid == 1 | select event_id; from events | where pid == 2 | select event_id | union a", "select event_id from ev where pid in (1, 2)"),
     "from_several": ("from nation, customer | agg { n = count() }", "select ((select count(*) from nation) + (select count(*) from customer))::bigint as n"),

@@ -460,6 +460,8 @@ class Compiler:
         """Scalar sub-queries and arrows become columns of the rows; their joins are added here."""
         if not isinstance(e, tuple):
             return state, e
+        if e[0] == "scalar" and _has_outer(e[1]):
+            return self.correlated(state, e[1])
         if e[0] == "scalar":
             side = self.run(e[1], None)
             name = f"_q{len(state.temp)}"
@@ -488,6 +490,37 @@ class Compiler:
             out.append(x)
         return state, tuple(out)
 
+    def correlated(self, state: _State, stages: list[Node]) -> tuple[_State, Node]:
+        """An aggregate of the rows that agree with the enclosing row on keys: grouped by the keys once, then joined."""
+        keys: list[tuple[Node, Node]] = []
+        inner: list[Node] = []
+        for stage in stages:
+            if stage[0] == "where":
+                for term in _conjuncts(stage[1]):
+                    sides = term[2:] if term[0] == "cmp" and term[1] == "==" else ()
+                    own = [x for x in sides if x[0] == "outer"]
+                    if len(own) == 1:
+                        keys.append((next(x for x in sides if x[0] != "outer"), ("path", own[0][1])))
+                    elif _has_outer(term):
+                        raise QueryError("a sub-query may be correlated by == alone")
+                    else:
+                        inner.append(("where", term))
+            else:
+                inner.append(stage)
+        if not keys or inner[-1][0] != "group" or inner[-1][1] or len(inner[-1][2]) != 1:
+            raise QueryError("a correlated sub-query ends in an agg of one entry")
+        entry, aggregate_of = inner[-1][2][0]
+        name = f"_q{len(state.temp)}"
+        grouped = ("group", [(f"_c{i}", k) for i, (k, _) in enumerate(keys)], [(name, aggregate_of)])
+        side = self.run([*inner[:-1], grouped], None)
+        on = F.lit(True)
+        for i, (_, outer) in enumerate(keys):
+            on = on & (self.value(state.df, outer).col == F.col(f"_c{i}"))
+        df = state.df.join(side, on, "left").drop(*[f"_c{i}" for i in range(len(keys))])
+        if aggregate_of[0] == "call" and aggregate_of[1] in ("count", "count_if", "count_distinct"):
+            df = df.withColumn(name, F.coalesce(name, F.lit(0)))
+        return state.but(df=df, temp=[*state.temp, name]), ("path", [name])
+
     def items_with(self, state: _State, items: list[tuple[str | None, Node]]) -> tuple[_State, list]:
         out = []
         for name, e in items:
@@ -898,6 +931,12 @@ def _conjuncts(e: Node) -> list[Node]:
     return _conjuncts(e[1]) + _conjuncts(e[2]) if e[0] == "and" else [e]
 
 
+def _has_outer(e) -> bool:
+    if isinstance(e, tuple):
+        return bool(e) and (e[0] == "outer" or any(_has_outer(x) for x in e))
+    return isinstance(e, list) and any(_has_outer(x) for x in e)
+
+
 def _calls(e) -> set[str]:
     out: set[str] = set()
     if isinstance(e, tuple):

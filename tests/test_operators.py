@@ -183,3 +183,14 @@ def test_best_fit(spark):
     rows = [("n", r.gauss(5, 5)) for _ in range(800)] + [("e", r.expovariate(0.1)) for _ in range(800)] + [("l", r.lognormvariate(1, 1)) for _ in range(800)]
     got = dict(values(best_fit(spark.createDataFrame(rows, "k string, v double"), ["k"], "v"), "k", "distribution"))
     assert got == {"n": "normal", "e": "exponential", "l": "lognormal"}
+
+
+def test_series_methods(spark):
+    from tessera.series import Series
+
+    df = spark.createDataFrame([("Hello World", [3, 1, 3])], "s string, xs array<long>").selectExpr("*", "timestamp'2024-02-29 13:45:10' as t")
+    s, t, xs = Series("s"), Series("t"), Series("xs")
+    got = df.select(s.str.swapcase(), s.str.slice(1, 3), s.str.index("World"), s.str.get(20), s.str.cat(F.lit("x"), sep="-"), s.str.isalpha(), t.dt.is_leap_year(), t.dt.dayofweek(), t.dt.strftime("%d/%m"), xs.list.last(), F.size(xs.list.unique())).first()
+    assert tuple(got) == ("hELLO wORLD", "el", 6, None, "Hello World-x", False, True, 3, "29/02", 3, 2)
+    with pytest.raises(AttributeError):
+        s.str.nothing
