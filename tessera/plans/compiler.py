@@ -118,6 +118,8 @@ class Compiler:
                 continue
             if state.df is None:
                 raise QueryError("the query has no input: begin with from")
+            if stage[0] not in ("where", "time_range", "bucket", "group"):
+                state = state.but(wide=None)  # only filters may stand between a window and its occupancy
             state = getattr(self, f"_{stage[0]}")(state, *stage[1:])
         if state.bucket:
             raise QueryError("bucket needs a group or agg after it")
@@ -550,8 +552,9 @@ class Compiler:
                 state = state.but(df=df.where(self.value(df, inner[1]).col.isNotNull()) if flip else df)
                 continue
             state, t = self.subqueries(state, t)
-            df = state.df.where(self.boolean(self.value(state.df, t)))
-            state = state.but(df=df.drop(*state.temp), temp=[])
+            keep = self.boolean(self.value(state.df, t))
+            wide = state.wide.where(keep) if state.wide is not None and not state.temp else None
+            state = state.but(df=state.df.where(keep).drop(*state.temp), temp=[], wide=wide)
         return state
 
     def _select(self, state: _State, items) -> _State:
@@ -673,9 +676,10 @@ class Compiler:
         if wanted:
             if b and b.get("every"):
                 raise QueryError("occupancy aggregates do not run after a hopping bucket")
-            base = state.df.select(*self.named(state.df, keys), F.col(self.c.roles.time).alias("_ts"), F.col(self.c.roles.duration).alias("_dur"))
+            rows, (lo, hi) = (state.wide, state.clip) if state.wide is not None else (state.df, (None, None))
+            base = rows.select(*self.named(rows, keys), F.col(self.c.roles.time).alias("_ts"), F.col(self.c.roles.duration).alias("_dur"))
             plain = [n for n in names if not (b and n == b["name"])]
-            occupied = occupancy.occupancy(base, plain, "_ts", "_dur", bucket=int(self.const(df, b["width"])) if b else None)
+            occupied = occupancy.occupancy(base, plain, "_ts", "_dur", bucket=int(self.const(df, b["width"])) if b else None, low=lo, high=hi)
             occupied = occupied.withColumnsRenamed({"bucket": b["name"]} if b else {})
             rename = {n: f"_k{i}" for i, n in enumerate(names)}
             occupied = occupied.select(*[F.col(n).alias(k) for n, k in rename.items()], *[F.col(w).alias(f"_o_{w}") for w in OCCUPANCY])
@@ -684,7 +688,7 @@ class Compiler:
                 on = F.lit(True)
                 for i, k in enumerate(rename.values()):
                     on = on & F.col(f"_g{i}").eqNullSafe(F.col(k))
-                df = flat.join(occupied, on, "full" if b else "left").select(*flat.columns, *[F.coalesce(F.col(f"_g{i}"), F.col(k)).alias(f"_h{i}") for i, k in enumerate(rename.values())], *[f"_o_{w}" for w in OCCUPANCY])
+                df = flat.join(occupied, on, "full" if b or lo is not None else "left").select(*flat.columns, *[F.coalesce(F.col(f"_g{i}"), F.col(k)).alias(f"_h{i}") for i, k in enumerate(rename.values())], *[f"_o_{w}" for w in OCCUPANCY])
                 key_columns = [F.col(f"_h{i}").alias(n) for i, n in enumerate(names)]
             else:
                 df = df.crossJoin(F.broadcast(occupied))  # one row
@@ -900,7 +904,12 @@ class Compiler:
             keep = (keep if b is None else start < b) & (F.lit(True) if a is None else end > a)
         else:
             keep = (F.lit(True) if a is None else start >= a) & (F.lit(True) if b is None else start < b)
-        return state.but(df=df.where(keep))
+        out = state.but(df=df.where(keep))
+        if not overlapping and a is not None and b is not None and r.duration in df.columns:
+            # Occupancy takes every row that overlaps the window, clipped to it.
+            end = start + F.coalesce(self.number(self.value(df, ("path", [r.duration]))), F.lit(0))
+            out = out.but(wide=df.where((start < b) & (end > a)), clip=(int(a), int(b)))
+        return out
 
     def _call_tree(self, state: _State) -> _State:
         r = self.c.roles
@@ -922,6 +931,8 @@ class _State:
     bucket: dict | None = None
     temp: list[str] = field(default_factory=list)
     sorted: list[Column] = field(default_factory=list)
+    wide: DataFrame | None = None
+    clip: tuple[int | None, int | None] = (None, None)
 
     def but(self, **changes) -> _State:
         return _State(**{**self.__dict__, **changes})

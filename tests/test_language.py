@@ -119,3 +119,10 @@ def test_declarations():
     decls, stages = parse("let a = from t | where x; def f(y) = y + 1; source s { r = from t | take 1; def g = z } from a | derive q = f(1)")
     assert [d[:2] for d in decls] == [("let", "a"), ("def", "f"), ("let", "s.r"), ("def", "g")]
     assert stages[0][0] == "from"
+
+
+def test_occupancy_is_clipped_to_a_leading_window(spark, run):
+    df = spark.createDataFrame([(0, "a", 1, 1, 0, 100, 1), (1, "a", 1, 1, 50, 100, 1), (2, "b", 1, 1, 500, 10, 1)], "event_id long, name string, pid long, tid long, ts long, dur long, size long")
+    assert run("time_range 40 .. 120 | agg { b = busy(), u = utilization(), n = count() }", df) == [(80, 1.0, 1)]
+    assert run('where name == "a" | time_range 40 .. 120 | group name { b = busy(), a = active() }', df) == [("a", 80, 2)]
+    assert run("agg { b = busy(), c = concurrency() }", df) == [(160, 210 / 160)]
