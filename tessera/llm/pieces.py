@@ -85,12 +85,13 @@ def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), lengths
 
 
-def by_length(codes: np.ndarray, lengths: np.ndarray, most: int = 1 << 15) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of strings of one length each: their indices, and their code points as a matrix."""
+def by_length(codes: np.ndarray, lengths: np.ndarray, points: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of strings of one length each, ``points`` code points or so: their indices, and their code points as a matrix."""
     starts = np.cumsum(lengths) - lengths
     out = []
     for length in np.unique(lengths[lengths > 0]).tolist():
         rows = np.flatnonzero(lengths == length)
+        most = max(1, points // length)
         for k in range(0, len(rows), most):
             own = rows[k : k + most]
             out.append((own, codes[starts[own][:, None] + np.arange(length)]))

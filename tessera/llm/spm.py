@@ -72,7 +72,7 @@ class Lattice:
         scores[lengths == 0, 0] = 0.0
         rows: list[list[np.ndarray]] = [[] for _ in range(n)]
         flat: list[list[np.ndarray]] = [[] for _ in range(n)]
-        for own, matrix in P.by_length(codes, lengths, 1 << 12):
+        for own, matrix in P.by_length(codes, lengths, points=1 << 15):
             found, edges = self._search(matrix, n)
             scores[own] = found
             for k in range(n):
@@ -293,7 +293,7 @@ def encode(docs: DataFrame, text: str = "text", n: int = 2, path: str = P.MODEL_
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("scores", T.ArrayType(T.DoubleType()))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
 
     def run(batches):
-        for whole in words.chunks(batches, text, 12 << 20):
+        for whole in words.chunks(batches, text, 8 << 20):
             null = np.asarray(whole[text].is_null())
             for at, part in enumerate(encode_texts(shared.value, whole[text], n)):
                 k = at * ROWS_OUT
