@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, linedup, lm, neardup, quality, secrets, spm, toxicity
+from .oracles import ORACLES as ORACLES
 from .runtime import doc_bucket, table
 
 
@@ -96,22 +97,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat": op10_chat,
 }
-#: Words of a text as op6 takes them, A-Z lower-cased.
-_OP6_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-ORACLES: dict[str, str] = {
-    "op6_decontamination": f"""
-        with d as (select doc_id, {_OP6_WORDS} as w from documents),
-        b as (select cast(item_id as varchar) as item_id, {_OP6_WORDS} as w from benchmark),
-        items as (select item_id, w, least(10, len(w)) as n from b where len(w) > 0),
-        win as (select distinct item_id, n, array_to_string(w[s : s + n - 1], ' ') as words from (select item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as s from items)),
-        lengths as (select distinct n from win),
-        places as (select doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') as words
-                   from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as s from d cross join lengths where len(w) >= n)),
-        hits as (select doc_id, s, n, item_id from places join win using (n, words)),
-        covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(s, s + n - 1)) as p from hits) group by doc_id),
-        found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by doc_id)
-        select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-            sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-        from d left join covered using (doc_id) left join found using (doc_id)""",
-}
