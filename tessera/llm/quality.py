@@ -89,7 +89,8 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, key: str =
         above = _metric(m) > c
         counts += [F.sum((above & (F.col("_label") == y)).cast("long")).alias(f"{n}_{at}") for n, y in (("g", 1), ("b", 0))]
     tall = rows.groupBy(F.col(stratum).alias("stratum")).agg(*counts)  # a row for each stratum
-    tall = tall.select("stratum", "good", "bad", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("strata"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("cutoff"), F.col(f"g_{at}").alias("k"), F.col(f"b_{at}").alias("b")) for at, (m, c) in enumerate(tests)])).alias("x"))
+    tall = tall.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # before the explosion, which would multiply it
+    tall = tall.select("stratum", "good", "bad", "strata", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("cutoff"), F.col(f"g_{at}").alias("k"), F.col(f"b_{at}").alias("b")) for at, (m, c) in enumerate(tests)])).alias("x"))
     tall = tall.select("stratum", "good", "bad", "strata", "x.metric", "x.cutoff", F.col("x.k").alias("good_rejected"), F.col("x.b").alias("bad_rejected"))
     share = alpha / len(GRID)
     tail = F.when(F.col("good_rejected") < F.col("good") * share, F.expr(binomial_tail("good_rejected", "good", share))).otherwise(F.lit(1.0))
