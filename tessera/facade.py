@@ -136,3 +136,104 @@ class Grouped:
     def ohlc(self, column: str) -> Frame:
         out = self.frame.df.groupBy(*self.keys).agg(aggregate("ohlc", F.col(column), pos=self.frame.pos).alias("x"))
         return Frame(out.select(*self.keys, "x.*"), self.keys)
+
+
+# -- whole frames -------------------------------------------------------------
+
+
+def mask(frame: Frame, predicate: str, name: str = "mask") -> Frame:
+    """A predicate of the pipe language as a column; unknown is null."""
+    from tessera.plans.compiler import Compiler, Context
+    from tessera.plans.syntax import Parser
+
+    compiler = Compiler(Context(frame.df.sparkSession))
+    return frame.with_column(name, compiler.boolean(compiler.value(frame.df, Parser(predicate).expr())))
+
+
+def equals(a: Frame, b: Frame) -> bool:
+    """The same rows, however often each, in any order."""
+    return a.df.schema.names == b.df.schema.names and a.df.exceptAll(b.df).isEmpty() and b.df.exceptAll(a.df).isEmpty()
+
+
+def update(frame: Frame, other: Frame, keys: list[str]) -> Frame:
+    """Non-null cells of the other frame replace those with the same keys."""
+    shared = [c for c in frame.columns if c in other.columns and c not in keys]
+    right = other.df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_u_{c}") for c in shared])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & (F.col(k) == F.col(f"_k{i}"))
+    out = frame.df.join(right, on, "left")
+    return frame._new(out.select(*[F.coalesce(F.col(f"_u_{c}"), F.col(c)).alias(c) if c in shared else F.col(c) for c in frame.columns]))
+
+
+def compare(frame: Frame, other: Frame, keys: list[str]) -> Frame:
+    """Cells that differ, side by side, for rows with the same keys: (keys, column, self, other) as text."""
+    shared = [c for c in frame.columns if c in other.columns and c not in keys]
+    right = other.df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_u_{c}") for c in shared])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("self"), F.col(f"_u_{c}").cast("string").alias("other")) for c in shared])
+    out = frame.df.join(right, on).select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*")
+    return Frame(out.where(~F.col("self").eqNullSafe(F.col("other"))), keys)
+
+
+def hstack(frame: Frame, other: Frame) -> Frame:
+    """Columns of two frames side by side, row by row in their orders."""
+    from tessera.operators.ordering import with_row_index
+
+    a, b = with_row_index(frame.df, frame._need_order(), "_row"), with_row_index(other.df, other._need_order(), "_other")
+    clash = {c: f"{c}_right" for c in other.columns if c in frame.columns}
+    return frame._new(a.join(b.withColumnsRenamed(clash), F.col("_row") == F.col("_other"), "left").drop("_row", "_other"))
+
+
+def between_time(frame: Frame, column: str, start: str, end: str, inclusive: str = "both") -> Frame:
+    """Rows whose time of day lies between; a range over midnight wraps."""
+    t = F.date_format(column, "HH:mm:ss.SSSSSS")
+    low, high = ((x + ":00" if x.count(":") == 1 else x) + ("" if "." in x else ".000000") for x in (start, end))
+    a = t >= low if inclusive in ("both", "left") else t > low
+    b = t <= high if inclusive in ("both", "right") else t < high
+    return frame.filter(a & b if low <= high else a | b)
+
+
+def at_time(frame: Frame, column: str, time: str) -> Frame:
+    return between_time(frame, column, time, time)
+
+
+def first_span(frame: Frame, time: str, span: int) -> Frame:
+    """Rows less than ``span`` after the first."""
+    low = frame.df.agg(F.min(time).alias("_lo"))  # one row
+    return frame._new(frame.df.crossJoin(F.broadcast(low)).where(F.col(time) < F.col("_lo") + span).drop("_lo"))
+
+
+def last_span(frame: Frame, time: str, span: int) -> Frame:
+    high = frame.df.agg(F.max(time).alias("_hi"))
+    return frame._new(frame.df.crossJoin(F.broadcast(high)).where(F.col(time) > F.col("_hi") - span).drop("_hi"))
+
+
+def truncate(frame: Frame, column: str, before=None, after=None) -> Frame:
+    keep = F.lit(True)
+    if before is not None:
+        keep = keep & (F.col(column) >= before)
+    if after is not None:
+        keep = keep & (F.col(column) <= after)
+    return frame.filter(keep)
+
+
+def asfreq(frame: Frame, time: str, step: int, values: list[str], keys: list[str] | None = None, method: str = "none") -> Frame:
+    return frame.gap_fill(keys or [], time, step, values, method)
+
+
+def transpose(frame: Frame, index: str) -> Frame:
+    """Columns as rows; a frame of few rows, whose index values become columns."""
+    return Frame(frame.df.transpose(F.col(index)))
+
+
+def str_get_dummies(frame: Frame, column: str, sep: str = "|", values: list[str] | None = None) -> Frame:
+    """A 0/1 column for each part of a separated text."""
+    parts = S.split(F.col(column), sep)
+    if values is None:
+        values = [r[0] for r in frame.df.select(F.explode(parts).alias("v")).where("v <> ''").distinct().orderBy("v").limit(1025).collect()]
+        if len(values) > 1024:
+            raise ValueError(f"more than 1024 distinct parts in {column}")
+    return frame._new(frame.df.withColumns({v: F.coalesce(F.array_contains(parts, v), F.lit(False)).cast("tinyint") for v in values}))

@@ -194,3 +194,21 @@ def test_series_methods(spark):
     assert tuple(got) == ("hELLO wORLD", "el", 6, None, "Hello World-x", False, True, 3, "29/02", 3, 2)
     with pytest.raises(AttributeError):
         s.str.nothing
+
+
+def test_whole_frames(spark):
+    from tessera import facade as P
+
+    df = spark.createDataFrame([(1, "a|b", 10, "2024-01-01 08:30:00"), (2, None, 20, "2024-01-01 23:10:00"), (3, "b", None, "2024-01-02 00:00:00")], "i long, k string, v long, t string").withColumn("t", F.col("t").cast("timestamp"))
+    f = Frame(df, ["i"])
+    ids = lambda fr: sorted(r["i"] for r in fr.df.collect())
+    assert values(P.mask(f, 'k == "b" or v > 15').df.orderBy("i"), "mask") == [(False,), (True,), (True,)]
+    assert ids(P.between_time(f, "t", "23:00", "01:00")) == [2, 3] and ids(P.at_time(f, "t", "08:30")) == [1]
+    assert ids(P.first_span(f, "i", 2)) == [1, 2] and ids(P.last_span(f, "i", 2)) == [2, 3] and ids(P.truncate(f, "i", 2, 2)) == [2]
+    assert P.equals(f, Frame(df.repartition(3))) and not P.equals(f, f.head(2))
+    other = Frame(spark.createDataFrame([(1, 11), (2, None), (9, 5)], "i long, v long"), ["i"])
+    assert values(P.update(f, other, ["i"]).df.orderBy("i"), "v") == [(11,), (20,), (None,)]
+    assert values(P.compare(f.select("i", "v"), other, ["i"]).df.orderBy("i"), "i", "self", "other") == [(1, "10", "11"), (2, "20", None)]
+    assert values(P.hstack(f, other).df.orderBy("i"), "i", "v_right") == [(1, 11), (2, None), (3, 5)]
+    assert values(P.str_get_dummies(f, "k").df.orderBy("i"), "a", "b") == [(1, 1), (0, 0), (0, 1)]
+    assert values(P.transpose(f.select("i", "v"), "i").df, "1", "2", "3") == [(10, 20, None)]
