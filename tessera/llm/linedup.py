@@ -113,7 +113,7 @@ def units(docs: DataFrame, key: str, text: str, unit: str) -> DataFrame:
 _SPANS = "id long, start int, end int, n_words int, n_units int, first_id long, first_start int"
 
 
-def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "passage", min_words: int = 20) -> DataFrame:
+def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "passage", min_words: int = 30) -> DataFrame:
     """Rows (``key``, start, end, n_words, n_units, first_id, first_start): what repeats an earlier place, and that place."""
     every = units(docs, key, text, unit)
     first = every.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("final")).where("first <> final").select("digest", "first")
@@ -140,7 +140,7 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit
     return grouped.mapInArrow(run, _SPANS).withColumnRenamed("id", key)
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "passage", min_words: int = 20) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "passage", min_words: int = 30) -> DataFrame:
     """``docs`` without the repeats; ``removed`` lists their (start, end) in the original text."""
     spans = written(removed_spans(docs, key, text, unit, min_words), "spans")
     lists = spans.groupBy(F.col(key).alias("__span_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
