@@ -9,8 +9,8 @@ posterior.
 
 Training is expectation-maximisation over that same lattice: the forward and
 backward sums give each piece's expected count.  It reads a sample of labelled
-documents that is bounded per language (``per_language``), chosen by a hash of
-the text so that it does not depend on order or partitioning.
+documents with distinct texts that is bounded per language (``per_language``),
+chosen by a hash of the text so that it does not depend on order or partitioning.
 
 Defined results
 ---------------
@@ -149,6 +149,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     from pyspark.sql import Window
 
     near = rows.withColumn("rank", rank).where((F.col("rank").cast("double") / 2.0**64 + 0.5) <= share)
+    near = near.dropDuplicates(["lang", "rank"])  # copies count once, however many; they are merged before the shuffle
     picked = near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("at") <= per_language).select("lang", "text")
 
     def count(batches):
