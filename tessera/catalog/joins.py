@@ -37,7 +37,7 @@ _P = "(select user_id, epoch_us(ts) as t, event_id as p from events where event_
 def _asof(direction, tolerance=None):
     def run(spark, sf_dir):
         left, right = _events(spark, sf_dir)
-        return J.asof(left, right, "t", ["user_id"], direction, tolerance, key=["p"]).select("event_id", "p", "t_right")
+        return J.asof(left, right, "t", ["user_id"], direction, tolerance, key=["p"]).select("event_id", F.coalesce("p", F.lit(-1)).alias("p"), F.coalesce("t_right", F.lit(-1)).alias("t_right"))
 
     return run
 
@@ -46,7 +46,7 @@ def _near():
     b = f"(select event_id, e.t, p.p, p.t as pt from {_E} asof left join {_P} on e.user_id = p.user_id and e.t >= p.t)"
     a = f"(select event_id, p.p, p.t as pt from {_E} asof left join {_P} on e.user_id = p.user_id and e.t <= p.t)"
     pick = "b.pt is not null and (a.pt is null or b.t - b.pt <= a.pt - b.t)"
-    return f"select event_id, case when {pick} then b.p else a.p end as p, case when {pick} then b.pt else a.pt end as t_right from {b} b join {a} a using (event_id)"
+    return f"select event_id, coalesce(case when {pick} then b.p else a.p end, -1) as p, coalesce(case when {pick} then b.pt else a.pt end, -1) as t_right from {b} b join {a} a using (event_id)"
 
 
 def _interval(outer):
@@ -109,10 +109,10 @@ _CASES = {
     "lookup_inner": (_lookup("inner"), f"select c_custkey, c.k, n_name from {_C} join {_N} on c.k = n.k"),
     "lookup_anti": (_lookup("anti"), f"select c.* from {_C} where not exists (select 1 from {_N} where n.k = c.k)"),
     "nest": (_nest, "select c_custkey, coalesce(string_agg(o_orderkey::varchar, ',' order by o_orderkey), '') as keys from customer left join orders on o_custkey = c_custkey group by 1"),
-    "asof_backward": (_asof("backward"), f"select event_id, p.p, p.t as t_right from {_E} asof left join {_P} on e.user_id = p.user_id and e.t >= p.t"),
-    "asof_forward": (_asof("forward"), f"select event_id, p.p, p.t as t_right from {_E} asof left join {_P} on e.user_id = p.user_id and e.t <= p.t"),
+    "asof_backward": (_asof("backward"), f"select event_id, coalesce(p.p, -1) as p, coalesce(p.t, -1) as t_right from {_E} asof left join {_P} on e.user_id = p.user_id and e.t >= p.t"),
+    "asof_forward": (_asof("forward"), f"select event_id, coalesce(p.p, -1) as p, coalesce(p.t, -1) as t_right from {_E} asof left join {_P} on e.user_id = p.user_id and e.t <= p.t"),
     "asof_nearest": (_asof("nearest"), _near()),
-    "asof_tolerance": (_asof("backward", 3.6e9), f"select event_id, case when e.t - p.t <= 3600000000 then p.p end as p, case when e.t - p.t <= 3600000000 then p.t end as t_right from {_E} asof left join {_P} on e.user_id = p.user_id and e.t >= p.t"),
+    "asof_tolerance": (_asof("backward", 3.6e9), f"select event_id, case when e.t - p.t <= 3600000000 then p.p else -1 end as p, case when e.t - p.t <= 3600000000 then p.t else -1 end as t_right from {_E} asof left join {_P} on e.user_id = p.user_id and e.t >= p.t"),
     "interval": (_interval(False), f"select p_partkey, p_retailprice, s_suppkey, lo, hi from part join {_BANDS} on p_retailprice between lo and hi"),
     "interval_outer": (_interval(True), f"select p_partkey, p_retailprice, s_suppkey, lo, hi from part left join {_BANDS} on p_retailprice between lo and hi"),
     "overlap": (_overlap("inner"), f"with x as ({_SPAN}) select a.event_id, b.event_id as other from x a join x b on a.user_id = b.user_id and a.s < b.e and b.s < a.e where a.event_type = 'click' and b.event_type = 'view'"),

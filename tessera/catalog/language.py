@@ -57,7 +57,7 @@ _CASES = {
     "bucket_fill": ("from events | where value > 200 | bucket 1h fill | agg { n = count(), m = max(value) }", "select g as bucket, coalesce(n, 0)::bigint as n, m from (select unnest(generate_series(lo, hi, 3600000000)) as g from (select min(ts - ts % 3600000000) as lo, max(ts - ts % 3600000000) as hi from ev where value > 200)) left join (select ts - ts % 3600000000 as b, count(*) as n, max(value) as m from ev where value > 200 group by 1) on b = g"),
     "bucket_fill_forward": ("from events | where value > 200 | bucket 1h fill forward | agg { m = max(value) }", "select g as bucket, last_value(m ignore nulls) over (order by g rows unbounded preceding) as m from (select unnest(generate_series(lo, hi, 3600000000)) as g from (select min(ts - ts % 3600000000) as lo, max(ts - ts % 3600000000) as hi from ev where value > 200)) left join (select ts - ts % 3600000000 as b, max(value) as m from ev where value > 200 group by 1) on b = g"),
     "window_ranks": ("from events | window name sort -value, event_id { r = row_number(), k = rank(), t = ntile(4) } | select event_id, r, k, t", "select event_id, (row_number() over w)::int as r, (rank() over w)::int as k, (ntile(4) over w)::int as t from ev window w as (partition by name order by value desc, event_id)"),
-    "window_lag": ("from events | window tid sort ts { gap = ts - lag(ts), nx = lead(value, 2, -1), run = running_sum(dur), c = running_count() } | select event_id, gap, nx, run, c", "select event_id, ts - lag(ts) over w as gap, lead(value, 2, -1) over w as nx, (sum(dur) over (w rows unbounded preceding))::bigint as run, count(*) over (w rows unbounded preceding) as c from ev window w as (partition by tid order by ts, event_id)"),
+    "window_lag": ("from events | window tid sort ts { gap = coalesce(ts - lag(ts), -1), nx = lead(value, 2, -1), run = running_sum(dur), c = running_count() } | select event_id, gap, nx, run, c", "select event_id, coalesce(ts - lag(ts) over w, -1) as gap, lead(value, 2, -1) over w as nx, (sum(dur) over (w rows unbounded preceding))::bigint as run, count(*) over (w rows unbounded preceding) as c from ev window w as (partition by tid order by ts, event_id)"),
     "window_frames": ("from events | window tid sort ts { m = max(value) over 3 rows, n = count() over 1h, w = max(value) } | select event_id, m, n, w", "select event_id, max(value) over (partition by tid order by ts, event_id rows 2 preceding) as m, count(*) over (partition by tid order by ts range between 3600000000 preceding and current row) as n, max(value) over (partition by tid) as w from ev"),
     "session": ("from events | session tid gap 2h | group tid, session { n = count(), t = sum(dur) }", "select tid, s as session, count(*) as n, sum(dur)::bigint as t from (select *, sum(f) over (partition by tid order by ts, event_id rows unbounded preceding)::bigint as s from (select *, case when m is null or ts > m + 7200000000 then 1 else 0 end as f from (select *, max(ts + dur) over (partition by tid order by ts, event_id rows between unbounded preceding and 1 preceding) as m from ev))) group by 1, 2"),
     "expand": ("from parts | expand words as w with_index i | select p_partkey, w, i", "select p_partkey, unnest(string_split(p_name, ' ')) as w, unnest(range(0, len(string_split(p_name, ' '))))::int as i from part"),
