@@ -404,6 +404,11 @@ def micros(t) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t.cast("timestamp_ntz"))
 
 
+def from_micros(x) -> Column:
+    """A timestamp without zone (in UTC) from microseconds since 1970, whatever the session's zone."""
+    return F.timestamp_add("MICROSECOND", lit(x).cast("bigint"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 _PARTS: dict[str, Callable[[Column], Column]] = {
     "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "quarter": F.quarter,
     "dayofyear": F.dayofyear, "dayofweek": F.weekday, "week": F.weekofyear,

@@ -392,7 +392,7 @@ class Compiler:
         raise QueryError(f"unknown function {name!r}")
 
     def moment(self, v: Value) -> Column:
-        return v.col if v.kind == "time" else F.timestamp_micros((self.number(v) * int(UNITS[self.c.roles.unit])).cast("bigint"))
+        return v.col if v.kind == "time" else S.from_micros(self.number(v) * int(UNITS[self.c.roles.unit]))
 
     def _element(self, df: DataFrame, p: Node, e: Node, x: Column) -> Value:
         # The element's type: fields of structs and scalars alike compare by their own kind.

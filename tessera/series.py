@@ -24,7 +24,7 @@ _STR: dict[str, Callable[..., Column]] = {
 }
 _DT: dict[str, Callable[..., Column]] = {
     "strftime": S.format_time, **{p: (lambda p: lambda c: S.date_part(p, c))(p) for p in S._PARTS}, "nanosecond": lambda c: F.lit(0), "isocalendar": lambda c: F.struct(S.date_part("isoyear", c).alias("year"), F.weekofyear(c).alias("week"), (F.weekday(c) + 1).alias("day")),
-    "floor": lambda c, unit: F.timestamp_micros(S.round_time(S.micros(c), unit)), "ceil": lambda c, unit: F.timestamp_micros(S.round_time(S.micros(c), unit, "ceil")), "round": lambda c, unit: F.timestamp_micros(S.round_time(S.micros(c), unit, "round")),
+    "floor": lambda c, unit: S.from_micros(S.round_time(S.micros(c), unit)), "ceil": lambda c, unit: S.from_micros(S.round_time(S.micros(c), unit, "ceil")), "round": lambda c, unit: S.from_micros(S.round_time(S.micros(c), unit, "round")),
     "normalize": lambda c: F.date_trunc("day", c), "total_seconds": lambda c: c.cast("double") / 1e6, "tz_convert": lambda c, tz: F.from_utc_timestamp(c, tz), "tz_localize": lambda c, tz: F.to_utc_timestamp(c, tz),
 }
 _LIST: dict[str, Callable[..., Column]] = {"len": F.size, "get": S.list_get, "first": lambda c: S.list_get(c, 0), "last": lambda c: S.list_get(c, -1), "join": F.array_join, "sort": F.array_sort, "unique": F.array_distinct, "sum": S.list_sum, "slice": S.list_slice, "contains": F.array_contains}
