@@ -230,8 +230,8 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     size = int(base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     chunks = max(1, math.ceil(size / chunk_bytes))
-    # Dealt by the text too, so that rows with one id do not meet in one chunk.
-    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("key", F.length("text"), F.substring("text", 1, 64)), F.lit(chunks)))
+    # Dealt by id and text, so that neither rows with one id nor copies meet in one chunk.
+    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks)))
 
     def ask(group: pa.Table) -> pa.Table:
         hashes, _ = tokens(group["text"])
