@@ -46,7 +46,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the piece ids of their best segmentation."""
-    found = spm.encode(docs.select(*COLUMNS), n=1)
+    found = spm.encode(docs.select(*COLUMNS), n=1, chunk_bytes=2 << 20)  # after four stages, the executors' heaps are full-grown
     return found.select(*COLUMNS, F.get("ids", F.lit(0)).alias("ids"), F.get("scores", F.lit(0)).alias("score"))
 
 

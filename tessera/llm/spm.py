@@ -283,17 +283,18 @@ def decode_ids(lattice: Lattice, lists: list[np.ndarray]) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, text: str = "text", n: int = 2, path: str = P.MODEL_PATH, decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", n: int = 2, path: str = P.MODEL_PATH, decoded: str | None = None, chunk_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with ``ids`` (n best lists of piece ids, best first) and ``scores``; one map, no shuffle.
 
     With ``decoded``, a column of that name has the text of the best ids, decoded in the same pass.
+    ``chunk_bytes`` of text are segmented at once: more share more units, fewer take less memory.
     """
     docs = docs.drop("ids", "scores", *([decoded] if decoded else []))
     shared = docs.sparkSession.sparkContext.broadcast(Lattice(P.load(path)))  # one fixed vocabulary
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("scores", T.ArrayType(T.DoubleType()))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
 
     def run(batches):
-        for whole in words.chunks(batches, text, 8 << 20):
+        for whole in words.chunks(batches, text, chunk_bytes):
             null = np.asarray(whole[text].is_null())
             for at, part in enumerate(encode_texts(shared.value, whole[text], n)):
                 k = at * ROWS_OUT
