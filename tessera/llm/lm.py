@@ -6,16 +6,17 @@ pair of level ``q`` is inserted together with each of the levels below, so its
 level is read back by probing for level 1, 2, ... until a probe fails.  The
 filter's false positives can only raise a level, never lose one.
 
-The filter is broadcast, so its size is bounded by ``filter_bytes`` whatever the
-corpus: the smallest power of two at which all pairs that occur so often fit is
-its cut, found from the exact count-of-counts of the whole corpus.  Pairs below
-the cut are scored by their tokens alone, as are pairs never seen.
-
-Exact token counts don't fit on a worker.  Texts are dealt out in chunks of
-bounded size; each chunk asks for the counts of its distinct tokens, the request
-meets the count table bucket by bucket, and the answer returns to the chunk.
-Counts, requests and answers travel as packed arrays, one row for each chunk and
-bucket, pre-aggregated before every shuffle.
+Every pair that occurs is held, also one seen once, so the filter grows with the
+corpus.  It is cut in slices by pair bucket, each as large as its own pairs need,
+and no worker or driver ever holds it whole.  Only pairs never seen are scored by
+their tokens alone.
+
+Neither the filter nor the exact token counts fit on a worker.  Texts are dealt
+out in chunks of bounded size; each chunk asks for the counts of its distinct
+tokens and the levels of its distinct pairs, the request meets the counts or the
+slice bucket by bucket, and the answer returns to the chunk.  Counts, requests
+and answers travel as packed arrays, one row for each kind, chunk and bucket,
+pre-aggregated before every shuffle.
 
 A token's probability after ``h`` mixes ``(1 - x) * unigram + x * pair(h, w) /
 count(h)``.  Each text takes its own Bayesian mixture over the weights
@@ -52,7 +53,6 @@ PRIOR = np.array([0.5, 0.125, 0.125, 0.125, 0.125])
 #: Hashes of two strings that are no words, for a text's end and start.
 END, START = (int(x) for x in words.string_hashes(pa.array([" ", "\n"])))
 _KEY = np.uint64((1 << 40) - 1)
-_BINS = 48
 
 
 @dataclass
@@ -151,26 +151,33 @@ def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
 
 
 _COUNTS = "kind int, bucket int, keys binary, counts binary"
-_MERGED = "kind int, bucket int, keys binary, counts binary, total long, types long, bins array<long>"
+_MERGED = "kind int, bucket int, keys binary, counts binary, size long, total long, types long"
+
+
+def _kept(pair: np.ndarray, bits: int) -> np.ndarray:
+    """Only the bucket and forty bits of a pair's hash are kept."""
+    return pair & np.uint64((((1 << bits) - 1) << (64 - bits)) | ((1 << 40) - 1))
+
+
+def _runs(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Bucket, start and end of each run of sorted keys in one bucket."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    return list(zip(bucket[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if len(keys) else []
 
 
-def count_table(training: DataFrame, text: str, bits: int) -> DataFrame:
-    """Merged counts, a row for each kind (0: tokens, 1: pairs of at least two) and bucket."""
+def count_table(training: DataFrame, text: str, bits: int, probes: int) -> DataFrame:
+    """A row for each kind and bucket: the merged counts of tokens (kind 0), the filter slice of all pairs (kind 1, in ``keys``)."""
 
     def count(batches):
         for t in words.chunks(batches, "text", 16 << 20):
             hashes, counts = tokens(t["text"])
             rows: dict[str, list] = {"kind": [], "bucket": [], "keys": [], "counts": []}
-            for kind, values in ((0, hashes), (1, pairs(hashes, counts))):
-                if kind:
-                    # Only the bucket and forty bits of a pair's hash are kept.
-                    values = values & np.uint64((((1 << bits) - 1) << (64 - bits)) | ((1 << 40) - 1))
+            for kind, values in ((0, hashes), (1, _kept(pairs(hashes, counts), bits))):
                 keys, n = np.unique(values, return_counts=True)
-                bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for bucket, s, e in _runs(keys, bits):
                     rows["kind"].append(kind)
-                    rows["bucket"].append(int(bucket[s]))
+                    rows["bucket"].append(bucket)
                     rows["keys"].append(_pack(keys[s:e]) if kind else keys[s:e].tobytes())
                     rows["counts"].append(_pack_counts(n[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array(rows["kind"], pa.int32()), pa.array(rows["bucket"], pa.int32()), pa.array(rows["keys"], pa.binary()), pa.array(rows["counts"], pa.binary())], ["kind", "bucket", "keys", "counts"])
@@ -180,52 +187,34 @@ def count_table(training: DataFrame, text: str, bits: int) -> DataFrame:
         keys = [_unpack(x) if kind else np.frombuffer(x, np.uint64) for x in group["keys"].to_pylist()]
         counts = [_unpack_counts(x, len(k)) for x, k in zip(group["counts"].to_pylist(), keys, strict=True)]
         key, count = np.concatenate(keys), np.concatenate(counts)
+        del keys, counts
         order = np.argsort(key, kind="stable")
         key, count = key[order], count[order]
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         key, count = key[at], np.add.reduceat(count, at)
-        bins = np.bincount(np.log2(count).astype(np.int64), minlength=_BINS)[:_BINS]
-        total, types = int(count.sum()), len(key)
         if kind:
-            key, count = key[count >= 2], count[count >= 2]
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": group["bucket"].slice(0, 1), "keys": pa.array([_pack(key) if kind else key.tobytes()], pa.binary()), "counts": pa.array([_pack_counts(count)], pa.binary()), "total": [total], "types": [types], "bins": pa.array([bins.tolist()], pa.list_(pa.int64()))})
+            held, size = filter_slice(key, count, 1, probes)
+            packed = b""
+        else:
+            held, size, packed = key.tobytes(), 0, _pack_counts(count)
+        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": group["bucket"].slice(0, 1), "keys": pa.array([held], pa.binary()), "counts": pa.array([packed], pa.binary()), "size": [size], "total": [int(count.sum())], "types": [len(key)]})
 
     return training.select(F.col(text).alias("text")).mapInArrow(count, _COUNTS).groupBy("kind", "bucket").applyInArrow(merge, _MERGED)
 
 
-def build_filter(counts: DataFrame, bits: int, filter_bytes: int, probes: int) -> Filter:
-    bins = {r["bin"]: r["n"] for r in counts.where("kind = 1").select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect()}
-    low = 1
-    while low < _BINS and sum(n * (b - low + 1) for b, n in bins.items() if b >= low) * probes / math.log(2) / 8 > filter_bytes:
-        low += 1
-    cut = 1 << low
+def _slice_levels(raw: bytes, size: int, probes: int, pair: np.ndarray) -> np.ndarray:
+    """Level of each pair, given by its forty bits, in one bucket's slice."""
+    return probe(Filter(1, 1, probes, np.frombuffer(raw, np.uint8), np.zeros(2, np.int64), np.full(2, size, np.int64)), pair)
 
-    def build(batches):
-        for batch in batches:
-            made = []
-            for keys, count in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = _unpack(keys)
-                made.append(filter_slice(key, _unpack_counts(count, len(key)), cut, probes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], ["bucket", "data", "size"])
 
-    # At most filter_bytes, and eight bytes for each bucket, come to the driver.
-    slices = counts.where("kind = 1").select("bucket", "keys", "counts").mapInArrow(build, "bucket int, data binary, size long").toArrow()
-    size, first = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-    own = np.asarray(slices["bucket"])
-    size[own] = np.asarray(slices["size"])
-    first[own] = np.cumsum(size[own]) - size[own]
-    return Filter(bits, cut, probes, np.frombuffer(b"".join(slices["data"].to_pylist()), np.uint8), first, size)
-
-
-def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", filter_bytes: int = 48 << 20, probes: int = 8, chunk_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", probes: int = 8, chunk_bytes: int = 12 << 20) -> DataFrame:
     """One row per document: (``key``, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     bits = max(6, min(20, math.ceil(math.log2(4 * parallelism(spark)))))
-    counts = written(count_table(training, text, bits), "counts")
+    counts = written(count_table(training, text, bits, probes), "counts")
     sums = counts.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = int(sums["n"]), int(sums["v"])
     training_texts = training.count()
-    shared = spark.sparkContext.broadcast(build_filter(counts, bits, filter_bytes, probes))
 
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     size = int(base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
@@ -234,49 +223,65 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks)))
 
     def ask(group: pa.Table) -> pa.Table:
-        hashes, _ = tokens(group["text"])
-        own = np.unique(hashes)
-        bucket = (own >> np.uint64(64 - bits)).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-        return pa.table({"chunk": pa.array([group["chunk"][0].as_py()] * len(spans), pa.int64()), "bucket": pa.array([int(bucket[s]) for s, _ in spans], pa.int32()), "keys": pa.array([own[s:e].tobytes() for s, e in spans], pa.binary())})
+        hashes, counts = tokens(group["text"])
+        rows: dict[str, list] = {"kind": [], "bucket": [], "keys": []}
+        for kind, values in ((0, hashes), (1, _kept(pairs(hashes, counts), bits))):
+            own = np.unique(values)
+            for bucket, s, e in _runs(own, bits):
+                rows["kind"].append(kind)
+                rows["bucket"].append(bucket)
+                rows["keys"].append(_pack(own[s:e]) if kind else own[s:e].tobytes())
+        return pa.table({"chunk": pa.array([group["chunk"][0].as_py()] * len(rows["kind"]), pa.int64()), "kind": pa.array(rows["kind"], pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "keys": pa.array(rows["keys"], pa.binary())})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(known["keys"].to_pylist()), np.uint64)
-        count = _unpack_counts(known["counts"][0].as_py(), len(key)) if known.num_rows else np.zeros(0, np.int64)
-        out = []
+        out, sizes = [], []
+        if not asked.num_rows:
+            return pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("counts", pa.binary())]).empty_table()
+        pair = asked["kind"][0].as_py() == 1
+        held = known["keys"][0].as_py() if known.num_rows else b""
+        if not pair:
+            key = np.frombuffer(held, np.uint64)
+            count = _unpack_counts(known["counts"][0].as_py(), len(key)) if len(key) else np.zeros(0, np.int64)
         for raw in asked["keys"].to_pylist():
-            own = np.frombuffer(raw, np.uint64)
-            if len(key):
-                at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-                out.append(_pack_counts(np.where(key[at] == own, count[at], 0)))
+            own = _unpack(raw) if pair else np.frombuffer(raw, np.uint64)
+            if not held:
+                found = np.zeros(len(own), np.int64)
+            elif pair:
+                found = _slice_levels(held, known["size"][0].as_py(), probes, own)
             else:
-                out.append(_pack_counts(np.zeros(len(own), np.int64)))
-        sizes = pa.array([len(x) // 8 for x in asked["keys"].to_pylist()], pa.int32())
-        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "n": sizes, "counts": pa.array(out, pa.binary())})
+                at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                found = np.where(key[at] == own, count[at], 0)
+            out.append(_pack_counts(found))
+            sizes.append(len(own))
+        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "bucket": asked["bucket"], "n": pa.array(sizes, pa.int32()), "counts": pa.array(out, pa.binary())})
 
     def judge(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.schema([("key", group.schema.field("key").type), *_RESULT]).empty_table()
-        answers = answers.sort_by("bucket")
-        known = np.concatenate([np.zeros(0, np.int64), *[_unpack_counts(c, k) for c, k in zip(answers["counts"].to_pylist(), answers["n"].to_pylist(), strict=True)]])
+        answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kinds = np.asarray(answers["kind"])
+        each = [_unpack_counts(c, k) for c, k in zip(answers["counts"].to_pylist(), answers["n"].to_pylist(), strict=True)]
         hashes, sizes = tokens(group["text"])
-        _, place = np.unique(hashes, return_inverse=True)  # in the order of the answers
-        count = known[place]
-        del place
+        # Distinct tokens and pairs are in the order of the answers.
+        _, place = np.unique(hashes, return_inverse=True)
+        count = np.concatenate([x for x, kind in zip(each, kinds, strict=True) if not kind])[place]
+        _, place = np.unique(_kept(pairs(hashes, sizes), bits), return_inverse=True)
+        del hashes
+        level = np.concatenate([x for x, kind in zip(each, kinds, strict=True) if kind]).astype(np.int8)[place]
+        del place, each
         ends = np.cumsum(sizes)
         rows, low = [], 0
         while low < len(sizes):  # a few texts at a time
             start = int(ends[low] - sizes[low])
             high = max(low + 1, int(np.searchsorted(ends, start + (1 << 19), side="right")))
             part = slice(start, int(ends[high - 1]))
-            rows.append(_scored(shared.value, group["key"].slice(low, high - low), hashes[part], sizes[low:high], count[part], n, v, training_texts))
+            rows.append(_scored(group["key"].slice(low, high - low), sizes[low:high], count[part], level[part], n, v, training_texts))
             low = high
         return pa.concat_tables(rows)
 
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, bucket int, keys binary")
-    table = counts.where("kind = 0").select("bucket", "keys", "counts")
-    answers = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, n int, counts binary")
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, kind int, bucket int, keys binary")
+    held = counts.select("kind", "bucket", "keys", "counts", "size")
+    answers = asked.groupBy("kind", "bucket").cogroup(held.groupBy("kind", "bucket")).applyInArrow(answer, "chunk long, kind int, bucket int, n int, counts binary")
     kind = dict(base.dtypes)["key"]
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
@@ -285,18 +290,15 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
 _RESULT = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def _scored(model: Filter, key: pa.ChunkedArray, hashes: np.ndarray, sizes: np.ndarray, c: np.ndarray, n: int, v: int, training_texts: int) -> pa.Table:
+def _scored(key: pa.ChunkedArray, sizes: np.ndarray, c: np.ndarray, level: np.ndarray, n: int, v: int, training_texts: int) -> pa.Table:
     doc = np.repeat(np.arange(len(sizes)), sizes)
     unigram = (c + 1) / (n + 1 * (v + 1))
     before = np.empty_like(c)
     before[1:] = c[:-1]
     before[np.cumsum(sizes) - sizes] = training_texts
     ratio = np.zeros(len(c))
-    may = np.flatnonzero((c >= model.cut) & (before >= model.cut))  # no pair is more frequent than its tokens
-    level = probe(model, pairs(hashes, sizes)[may])
-    seen = level > 0
-    may, level = may[seen], level[seen]
-    count = np.minimum(np.minimum(model.cut * 2.0 ** (level - 1), c[may]), before[may])
+    may = np.flatnonzero((level > 0) & (c > 0) & (before > 0))  # no pair is more frequent than its tokens
+    count = np.minimum(np.minimum(2.0 ** (level[may].astype(float) - 1), c[may]), before[may])
     ratio[may] = count / before[may]
     logs = np.empty((len(WEIGHTS), len(sizes)))
     for k, x in enumerate(WEIGHTS):

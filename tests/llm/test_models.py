@@ -127,6 +127,22 @@ def test_filter_never_forgets_and_is_bounded():
     assert (lm.probe(model, r.integers(0, 1 << 40, 20_000, dtype=np.uint64)) > 0).mean() < 0.02
 
 
+def test_lm_pairs_of_any_count_are_scored(spark):
+    words_ = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join(words_)), (1, " ".join(words_[::-1])), (2, " ".join(words_[::2] + words_[1::2]))]  # no pair occurs twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score(docs, docs.where("doc_id < 2")).collect()}
+    assert (got[0]["train_tokens"], got[0]["n_tokens"]) == (82, 41)
+
+    def mixed(ratios):
+        per = [math.log10(p) + sum(math.log10((1 - x) * 3 / 124 + x * r) for r in ratios) for x, p in zip(lm.WEIGHTS, lm.PRIOR, strict=True)]
+        return math.log10(sum(10.0**x for x in per))
+
+    for i in (0, 1):  # each pair once after a token that occurs twice
+        assert got[i]["score"] == pytest.approx(mixed([0.5] * 41)) and got[i]["score"] > got[i]["base_score"] + 20
+    assert got[2]["score"] < got[2]["base_score"] + 5
+
+
 def measured(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
