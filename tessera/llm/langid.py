@@ -131,21 +131,22 @@ def fit_words(pieces: P.Pieces, languages: list[str], documents: np.ndarray, str
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 600, path: str = P.MODEL_PATH) -> Model:
-    """Learn from at most ``per_language`` documents of each non-null language (the documented sample bound).
+    """Learn from ``per_language`` distinct texts of each non-null language (the documented sample bound), or all where there are fewer.
 
     The languages and their document counts are taken over all rows; the driver
     then holds one count for each distinct word and language of the sample.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rank = F.xxhash64("text")
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(rank).alias("texts")).collect()
+    sizes, texts = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["texts"] for r in found}
     languages = sorted(sizes)
     pieces = P.load(path)
     documents = np.array([sizes[x] for x in languages], float)
     if not languages:
         return Model(pieces, [], documents, np.zeros((len(pieces.texts), 0)), np.zeros(0))
-    # About twice the bound by a threshold on the hash, then exactly the lowest hashes.
-    rank = F.xxhash64("text")
-    share = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, 2.0 * per_language / sizes[x]))])[F.col("lang")]
+    # About twice the bound of distinct texts by a threshold on the hash, then exactly the lowest hashes.
+    share = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, 2.0 * per_language / texts[x]))])[F.col("lang")]
     from pyspark.sql import Window
 
     near = rows.withColumn("rank", rank).where((F.col("rank").cast("double") / 2.0**64 + 0.5) <= share)

@@ -68,6 +68,14 @@ def test_language_edges(labelled, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_of_mostly_copies(spark, labelled):
+    copies = spark.range(100, 40_100).selectExpr("id as doc_id", f"'{prose(999, 5, ['zu', 'wo'])}' as text", "'dd' as lang")
+    own = spark.createDataFrame([(i, prose(i, 40, ["pfa", "ndl", "gri"]), "dd") for i in range(200, 212)], "doc_id long, text string, lang string")
+    model = langid.fit(labelled.unionByName(copies).unionByName(own), per_language=15)
+    got = langid.identify(spark.createDataFrame([(i, prose(i, 40, ["pfa", "ndl", "gri"])) for i in range(300, 320)], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] for r in got] == ["dd"] * 20
+
+
 def test_toxicity_held_out(spark, odd, none):
     bad = ["scum", "idiot"]
     rows = [(i, prose(i, 60) + (f" {bad[i % 2]}, and more" if i % 5 == 0 else "")) for i in range(600)]
