@@ -141,7 +141,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(rank).alias("texts")).collect()
     sizes, texts = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["texts"] for r in found}
     languages = sorted(sizes)
-    pieces = P.load(path)
+    pieces = P.load(path, runs=False)
     documents = np.array([sizes[x] for x in languages], float)
     if not languages:
         return Model(pieces, [], documents, np.zeros((len(pieces.texts), 0)), np.zeros(0))

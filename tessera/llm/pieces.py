@@ -15,7 +15,7 @@ import pyarrow as pa
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: SentencePiece's mark for a space before a word.
 SPACE = "▁"
-#: Runs without white space are segmented in spans of at most this many code points.
+#: Longer runs without white space are segmented in spans of this many code points (language identification) or one by one.
 SPAN = 32
 
 _BASE = np.uint64(0x100000001B3)
@@ -56,8 +56,8 @@ class Pieces:
         return np.where(known[at] == keys, own[at], np.int32(-1))
 
 
-def load(path: str = MODEL_PATH, longest: int = 16) -> Pieces:
-    """Read the normal and byte pieces of a model. Pieces with an inner space mark are left out."""
+def load(path: str = MODEL_PATH, longest: int = 16, runs: bool = True) -> Pieces:
+    """Read the normal and byte pieces of a model. Pieces with an inner space mark are left out, but for ``runs`` of marks alone."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -68,7 +68,7 @@ def load(path: str = MODEL_PATH, longest: int = 16) -> Pieces:
         if model.is_byte(i):
             byte_ids[int(text[3:5], 16)] = i
             byte_scores[int(text[3:5], 16)] = model.get_score(i)
-        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and len(text) <= longest and SPACE not in text[1:]:
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and len(text) <= longest and (SPACE not in text[1:] or (runs and not text.strip(SPACE))):
             texts.append(text)
             scores.append(model.get_score(i))
             ids.append(i)
@@ -85,11 +85,14 @@ def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), lengths
 
 
-def by_length(codes: np.ndarray, lengths: np.ndarray, points: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of strings of one length each, ``points`` code points or so: their indices, and their code points as a matrix."""
+def by_length(codes: np.ndarray, lengths: np.ndarray, points: int = 1 << 18, longest: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of strings of one length each, ``points`` code points or so: their indices, and their code points as a matrix.
+
+    With ``longest``, longer strings are left out.
+    """
     starts = np.cumsum(lengths) - lengths
     out = []
-    for length in np.unique(lengths[lengths > 0]).tolist():
+    for length in np.unique(lengths[(lengths > 0) & (lengths <= (longest or np.inf))]).tolist():
         rows = np.flatnonzero(lengths == length)
         most = max(1, points // length)
         for k in range(0, len(rows), most):
@@ -98,6 +101,22 @@ def by_length(codes: np.ndarray, lengths: np.ndarray, points: int = 1 << 18) ->
     return out
 
 
+def edges(pieces: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces in one string, by end and then by length: their ends, lengths and indices."""
+    ends, sizes, own = [], [], []
+    keys = np.zeros(len(codes) + 1, np.uint64)
+    for length in range(1, min(pieces.longest, len(codes)) + 1):
+        keys = keys[:-1] * _BASE + codes[length - 1 :].astype(np.uint64)
+        found = pieces.find(keys, length)
+        at = np.flatnonzero(found >= 0)
+        ends.append(at + length)
+        sizes.append(np.full(len(at), length))
+        own.append(found[at])
+    end, size, piece = np.concatenate(ends), np.concatenate(sizes), np.concatenate(own)
+    order = np.lexsort((size, end))
+    return end[order], size[order], piece[order]
+
+
 def lattice(pieces: Pieces, matrix: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     """For strings of one length: piece index of each span (start, end), or -1, where any string has a piece."""
     n, length = matrix.shape

@@ -1,21 +1,23 @@
 """SentencePiece encoding with exact N-best segmentations, and decoding.
 
-A text is a sequence of units that no piece crosses: a word with the space
+A text is a sequence of units that no piece crosses: a word with all spaces
 before it, the rest of a line's first word, a line break.  For each distinct
 unit, a forward Viterbi pass over the piece lattice gives the best score from
 the unit's start to every position.  A backward A* search then grows
 segmentations from the unit's end; the forward scores are its heuristic, which
 is exact, so that completed segmentations leave the agenda in order of score and
 no other path is ever expanded.  Many units of one length are searched in lock
-step, each with its own agenda.
+step, each with its own agenda.  A unit of over 32 code points is searched alone, in
+one forward pass that keeps the N best segmentations up to every position.
 
 The N best segmentations of a whole text follow from those of its units: only
 the ``n - 1`` units with the smallest loss of their second segmentation can
 change, so their combinations are listed and the best kept.
 
 The score of a segmentation is the sum of the model's piece scores; a code point
-that is no piece is spelt in byte pieces, at the lowest score less ten.  Pieces
-with an inner space mark are left out of the lattice.  Encoding is lossless:
+that is no piece is spelt in byte pieces, at the lowest score less ten.  Pieces of
+several space marks are in the lattice; pieces that mix an inner space mark with
+other characters, of which the public model has none, are not.  Encoding is lossless:
 ``decode(encode(text)) == text`` for every text, also one that holds the space
 mark itself, which is spelt in bytes.
 
@@ -26,7 +28,7 @@ Defined results
 * fewer than ``n`` segmentations: as many as there are;
 * ties: the segmentation whose last differing piece is the shorter comes first,
   the same on every machine;
-* a unit of over 32 code points is segmented in spans of 32;
+* a unit of any length is segmented whole;
 * repeated rows: each is encoded, with the same result;
 * other columns pass through untouched, except ones named like the outputs,
   which are replaced.
@@ -72,13 +74,20 @@ class Lattice:
         scores[lengths == 0, 0] = 0.0
         rows: list[list[np.ndarray]] = [[] for _ in range(n)]
         flat: list[list[np.ndarray]] = [[] for _ in range(n)]
-        for own, matrix in P.by_length(codes, lengths, points=1 << 15):
+        for own, matrix in P.by_length(codes, lengths, points=1 << 15, longest=P.SPAN):
             found, edges = self._search(matrix, n)
             scores[own] = found
             for k in range(n):
                 at, col = np.nonzero(edges[:, k, :] != -1)
                 rows[k].append(own[at])
                 flat[k].append(edges[at, k, col])
+        starts = np.cumsum(lengths) - lengths
+        for i in np.flatnonzero(lengths > P.SPAN).tolist():
+            found, paths = self._search_long(codes[starts[i] : starts[i] + lengths[i]], n)
+            scores[i, : len(found)] = found
+            for k, path in enumerate(paths):
+                rows[k].append(np.full(len(path), i))
+                flat[k].append(path)
         out = []
         for k in range(n):
             row = np.concatenate([np.zeros(0, np.int64), *rows[k]])
@@ -171,6 +180,42 @@ class Lattice:
         return scores, paths
 
 
+    def _search_long(self, codes: np.ndarray, n: int) -> tuple[list[float], list[np.ndarray]]:
+        """For one long string: the n best scores, or all where there are fewer, and their edges as in ``_search``."""
+        length, width = len(codes), self.pieces.longest
+        back = np.zeros((length + 1, n), np.int8)  # code points of the last edge
+        rank = np.zeros((length + 1, n), np.int8 if n < 128 else np.int32)  # of the segmentation before it
+        last = np.full((length + 1, n), -1, np.int64)
+        recent: list[list[float]] = [[] for _ in range(width + 1)]  # scores up to the last positions, in a ring
+        recent[0] = [0.0]
+        block = 1 << 16
+        for low in range(0, length, block):
+            begin, high = max(0, low - width + 1), min(length, low + block)
+            end, size, piece = P.edges(self.pieces, codes[begin:high])
+            inside = end + begin > low
+            end, size, piece = (end + begin)[inside], size[inside], piece[inside]
+            first = np.searchsorted(end, np.arange(low + 1, high + 2)).tolist()
+            size, cost, piece = size.tolist(), self.pieces.scores[piece].tolist(), piece.tolist()
+            for at in range(low + 1, high + 1):
+                a, z = first[at - low - 1], first[at - low]
+                options = [(-s - cost[e], size[e], k, piece[e]) for e in range(a, z) for k, s in enumerate(recent[(at - size[e]) % (width + 1)])]
+                if a == z or size[a] > 1:  # the last code point is no piece
+                    options += [(-s - self.unknown, 1, k, -2 - int(codes[at - 1])) for k, s in enumerate(recent[(at - 1) % (width + 1)])]
+                options.sort()  # among equals, the shorter last piece
+                del options[n:]
+                recent[at % (width + 1)] = [-x[0] for x in options]
+                for k, (_, own, before, edge) in enumerate(options):
+                    back[at, k], rank[at, k], last[at, k] = own, before, edge
+        found, paths = recent[length % (width + 1)], []
+        for k in range(len(found)):
+            path, at = [], length
+            while at:
+                path.append(int(last[at, k]))
+                at, k = at - int(back[at, k]), int(rank[at, k])
+            paths.append(np.array(path[::-1], np.int64))
+        return found, paths
+
+
 def _units(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Unit of each place of all texts in order, the distinct units, and the number of units of each text."""
     lines = pc.split_pattern(texts, "\n")
@@ -183,16 +228,25 @@ def _units(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     spaced = np.ones(len(flat), bool)
     begins = np.cumsum(per_line) - per_line
     spaced[begins[~first_line]] = False
-    codes, distinct = words.encode(flat)
-    code = codes.astype(np.int64) * 2 + spaced
+    # A run of spaces is one unit with the word after it, or alone at a line's end.
+    closes = np.asarray(pc.binary_length(flat)) > 0
+    closes[begins + per_line - 1] = True
+    at = np.flatnonzero(closes)
+    spaces = np.diff(np.concatenate(([0], np.cumsum(spaced)[at]))).astype(np.int64)
+    done = np.cumsum(closes)
+    units_done = done[begins + per_line - 1]  # up to each line's end
+    per_line = np.diff(np.concatenate(([0], units_done)))
+    begins = units_done - per_line
+    codes, distinct = words.encode(flat.take(pa.array(at)))
+    most = int(spaces.max(initial=0)) + 1
+    code = codes.astype(np.int64) * most + spaces
     # A line break before every line but a text's first, as a unit of its own.
-    break_code = 2 * len(distinct)
-    at = begins[~first_line]
-    code = np.insert(code, at, break_code)
+    break_code = most * len(distinct)
+    code = np.insert(code, begins[~first_line], break_code)
     per_text_units = np.add.reduceat(per_line, np.cumsum(per_text) - per_text) + per_text - 1 if len(per_text) else per_text
     keys, unit = np.unique(code, return_inverse=True)
     names = distinct.to_pylist()
-    strings = ["\n" if k == break_code else (" " if k & 1 else "") + names[k >> 1] for k in keys.tolist()]
+    strings = ["\n" if k == break_code else " " * (k % most) + names[k // most] for k in keys.tolist()]
     return unit, strings, per_text_units
 
 
@@ -211,16 +265,8 @@ def encode_texts(lattice: Lattice, texts: pa.Array, n: int = 1, rows: int = ROWS
     if not len(texts):
         return
     unit, strings, per_text = _units(texts)
-    spans = [[s[k : k + P.SPAN] for k in range(0, len(s), P.SPAN)] if len(s) > P.SPAN else [s] for s in strings]
-    if any(len(x) > 1 for x in spans):  # long units become several
-        many = np.array([len(x) for x in spans])
-        first = np.cumsum(many) - many
-        owner = np.repeat(np.arange(len(per_text)), per_text)
-        per_text = np.bincount(owner, many[unit], len(per_text)).astype(np.int64)
-        unit = _ragged(first[unit], many[unit])
-        strings = [s for x in spans for s in x]
     scores, found = lattice.nbest(strings, n)
-    del strings, spans
+    del strings
     best, offsets = found[0]
     sizes = np.diff(offsets)
     loss = scores[:, 0] - scores[:, 1] if n > 1 else None

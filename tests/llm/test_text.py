@@ -173,6 +173,26 @@ def test_n_best_of_whole_texts(lattice):
     assert len({tuple(i) for _, i in found}) == 6 and {spm.decode_ids(lattice, [i])[0] for _, i in found} == {text}
 
 
+@pytest.mark.parametrize("text", ["a   b", "  to   be  ", "x\n\n    y  \n z", "a" + " " * 9])
+def test_n_best_with_runs_of_spaces(lattice, text):
+    found = next(spm.encode_texts(lattice, pa.array([text]), 4))[0]
+    assert [s for s, _ in found] == pytest.approx(segmentations(lattice, " " + text)[:4][: len(found)], rel=1e-12)
+    assert {" " * k for k in range(1, 17) if k != 15} <= set(lattice.pieces.texts)
+    assert len(found) == 4 and all(spm.decode_ids(lattice, [i]) == [text] for _, i in found)
+
+
+@pytest.mark.parametrize("text", ["https://example.org/" + "reconsiderations/of/the/whole/" * 4, "語日本語のテキスト、中文没有空格" * 6, "internationalization" * 3500, " " * 50 + "end"])
+def test_n_best_of_long_units(lattice, text):
+    known = dict(zip(lattice.pieces.texts, lattice.pieces.scores, strict=True))
+    whole, tables = " " + text, [[0.0]]
+    for end in range(1, len(whole) + 1):
+        every = [s + (known[p] if p in known else lattice.unknown) for k in range(max(0, end - 16), end) for p in [whole[k:end]] if p in known or end - k == 1 for s in tables[k]]
+        tables.append(sorted(every, reverse=True)[:3])
+    found = next(spm.encode_texts(lattice, pa.array([text]), 3))[0]
+    assert [s for s, _ in found] == pytest.approx(tables[-1], rel=1e-12)
+    assert len({tuple(i) for _, i in found}) == len(found) and all(spm.decode_ids(lattice, [i]) == [text] for _, i in found)
+
+
 def test_round_trip(spark, odd, none):
     got = spm.encode(odd, n=3, decoded="back").collect()
     assert len(got) == 11 and all(r["back"] == r["text"] for r in got)
