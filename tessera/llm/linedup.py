@@ -9,10 +9,14 @@ between blank lines.  Repeated passages often begin and end inside a line, where
 no whole line repeats; ``unit="passage"``, the default, therefore also cuts lines
 at places that the words themselves choose: after a word whose hash with the next
 word's is the lowest within ``SPREAD`` words on either side.  Copies of a passage
-are cut alike wherever they stand, but for some words at either end.
+are cut alike wherever they stand, but for some words at either end.  A run of
+repeated passage units is therefore only a seed, from ``seed_words`` words: its first
+unit's kept occurrence is compared with it word by word to the left, its last unit's
+to the right, until they differ.  Both sides of a seed ask their documents for
+``reach`` words; seeds that agree on all of them ask again for more.
 
-Units are removed in runs of adjoining repeats that have ``min_words`` words or
-more together, so that a short line that many documents share stays.
+Runs of adjoining repeats, with these words, are removed if they have ``min_words``
+words or more together, so that a short line that many documents share stays.
 
 Ranks are (``key``, offset): the smallest id keeps a unit.
 
@@ -27,6 +31,10 @@ Defined results
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -111,10 +119,122 @@ def units(docs: DataFrame, key: str, text: str, unit: str) -> DataFrame:
 
 
 _SPANS = "id long, start int, end int, n_words int, n_units int, first_id long, first_start int"
+#: Runs also name the kept occurrence of their last unit.
+_RUNS = f"{_SPANS}, last_id long, last_start int, last_words int"
+_RUN = [c.split()[0] for c in _RUNS.split(", ")]
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _contexts(texts: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
+    """Up to ``reach`` words before and after each run, and beside the kept occurrences (``own`` false), each place once."""
+    left = runs.select(F.col("first_id").alias("id"), F.col("first_start").alias("at"), F.lit(0).alias("skip"))
+    right = runs.select(F.col("last_id").alias("id"), F.col("last_start").alias("at"), F.col("last_words").alias("skip"))
+    asked = left.unionByName(right).distinct().select("id", F.struct("at", "skip").alias("ask"), F.expr("null").alias("run"))
+    own = runs.select("id", F.expr("null").alias("ask"), F.struct(*_RUN[1:]).alias("run"))
+    every = asked.unionByName(own).groupBy("id").agg(F.collect_list("ask").alias("asks"), F.collect_list("run").alias("runs"))
+    joined = texts.join(every, "id").select("id", "text", "asks", "runs")
+
+    def run(batches):
+        for batch in batches:
+            low = pc.ascii_lower(batch.column(1))
+            out: list[dict] = []
+            for i, text, asks, runs in zip(batch.column(0).to_pylist(), low.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                spans = [m.span() for m in _WORD.finditer(text)]
+                starts = [x for x, _ in spans]
+
+                def before(at, spans=spans, starts=starts, text=text):
+                    k = bisect_left(starts, at)
+                    return (text[starts[max(0, k - reach)] : at] if k else ""), k
+
+                def after(at, k, spans=spans, text=text):
+                    return text[at : spans[min(k + reach, len(spans)) - 1][1]] if k < len(spans) else ""
+
+                for x in asks:
+                    if x["skip"]:
+                        k = bisect_left(starts, x["at"]) + x["skip"]
+                        out.append({"id": i, "own": False, "at": x["at"], "skip": x["skip"], "after": after(starts[k], k) if k < len(starts) else ""})
+                    else:
+                        out.append({"id": i, "own": False, "at": x["at"], "skip": 0, "before": before(x["at"])[0]})
+                for x in runs:
+                    head, a = before(x["start"])
+                    z = bisect_left(starts, x["end"])
+                    out.append({"id": i, "own": True, "before": head, "after": after(x["end"], z), "a": a, "z": z, **x})
+            yield from pa.Table.from_pylist(out, schema).to_batches()
+
+    ddl = f"{_RUNS}, own boolean, at int, skip int, before string, after string, a int, z int"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+    return joined.mapInArrow(run, ddl)
+
+
+_EXTENDED = f"{_RUNS}, open boolean, a int, z int, from int, to int, origin int"
+
 
+def _compared(context: DataFrame, reach: int) -> DataFrame:
+    """Runs with their true ends (``from``, ``to``; words ``a`` to ``z``), ``open`` where they agree as far as was asked."""
+    own = context.where("own").select(*_RUN, "a", "z", "before", "after")
+    other = context.where("not own")
+    left = other.where("skip = 0").groupBy(F.col("id").alias("l_id"), F.col("at").alias("l_at")).agg(F.min("before").alias("l"))
+    right = other.where("skip > 0").groupBy(F.col("id").alias("r_id"), F.col("at").alias("r_at"), F.col("skip").alias("r_skip")).agg(F.min("after").alias("r"))
+    # Hot occurrences are on the streamed side, as above.
+    met = own.join(left, F.expr("first_id = l_id and first_start = l_at"), "left").join(right, F.expr("last_id = r_id and last_start = r_at and last_words = r_skip"), "left")
 
-def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "passage", min_words: int = 30) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for x in rows:
+                mine, theirs = list(_WORD.finditer(x["before"])), list(_WORD.finditer(x["l"] or ""))
+                n = 0
+                while n < min(len(mine), len(theirs)) and mine[-1 - n][0] == theirs[-1 - n][0]:
+                    n += 1
+                x["from"] = x["start"] - (len(x["before"]) - mine[-n].start() if n else 0)
+                x["origin"] = x["first_start"] - (len(x["l"]) - theirs[-n].start() if n else 0)
+                mine, theirs = list(_WORD.finditer(x["after"])), _WORD.findall(x["r"] or "")
+                m = 0
+                while m < min(len(mine), len(theirs)) and mine[m][0] == theirs[m]:
+                    m += 1
+                x["to"] = x["end"] + (mine[m - 1].end() if m else 0)
+                x["a"], x["z"], x["open"] = x["a"] - n, x["z"] + m, max(n, m) >= reach
+            yield from pa.Table.from_pylist(rows, schema).to_batches()
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _EXTENDED.split(", ")])
+    return met.select(*_RUN, "a", "z", "before", "after", "l", "r").mapInArrow(run, _EXTENDED)
+
+
+def _extended(texts: DataFrame, runs: DataFrame, min_words: int, reach: int = 24) -> DataFrame:
+    """Runs to their true ends, of ``min_words`` or more; those of a document that overlap are one."""
+    ready = []
+    while True:
+        found = written(_compared(written(_contexts(texts, runs, reach), "contexts"), reach), "extended")
+        ready.append(found.where("not open"))
+        runs = found.where("open").select(*_RUN)
+        if not runs.limit(1).count():
+            break
+        reach *= 8
+    every = reduce(DataFrame.unionByName, ready).where(F.col("z") - F.col("a") >= min_words)
+    grouped = every.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("from", "to", "a", "z", "n_units", "first_id", "origin"))).alias("found"))
+
+    def merge(batches):
+        for batch in batches:
+            out = []
+            for i, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own: list[dict] = []
+                for x in found:
+                    if own and x["from"] < own[-1]["to"]:
+                        own[-1].update(to=max(own[-1]["to"], x["to"]), z=max(own[-1]["z"], x["z"]), n_units=own[-1]["n_units"] + x["n_units"])
+                    else:
+                        own.append(x)
+                out += [(i, x["from"], x["to"], x["z"] - x["a"], x["n_units"], x["first_id"], x["origin"]) for x in own]
+            kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], _RUN[:7])
+
+    return grouped.mapInArrow(merge, _SPANS)
+
+
+def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "passage", min_words: int = 30, seed_words: int = 12) -> DataFrame:
     """Rows (``key``, start, end, n_words, n_units, first_id, first_start): what repeats an earlier place, and that place."""
+    least = min(seed_words, min_words) if unit == "passage" else min_words
     every = units(docs, key, text, unit)
     first = every.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("final")).where("first <> final").select("digest", "first")
     # Hot digests lie on the streamed side, whose large partitions are split at run time.
@@ -133,11 +253,15 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit
             at = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] > place[:-1] + 1))))
             total = np.add.reduceat(count, at)
             stop = np.concatenate((at[1:], [len(place)]))
-            keep = np.flatnonzero(total >= min_words)
+            keep = np.flatnonzero(total >= least)
             a, z = at[keep], stop[keep] - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[a])), pa.array(start[a]), pa.array(end[z]), pa.array(total[keep].astype(np.int32)), pa.array((z - a + 1).astype(np.int32)), pa.array(first_id[a]), pa.array(first_start[a])], ["id", "start", "end", "n_words", "n_units", "first_id", "first_start"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[a])), pa.array(start[a]), pa.array(end[z]), pa.array(total[keep].astype(np.int32)), pa.array((z - a + 1).astype(np.int32)), pa.array(first_id[a]), pa.array(first_start[a]), pa.array(first_id[z]), pa.array(first_start[z]), pa.array(count[z])], _RUN)
 
-    return grouped.mapInArrow(run, _SPANS).withColumnRenamed("id", key)
+    runs = grouped.mapInArrow(run, _RUNS)
+    if unit == "passage":
+        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+        runs = _extended(texts, written(runs, "runs"), min_words)
+    return runs.select(*_RUN[:7]).withColumnRenamed("id", key)
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "passage", min_words: int = 30) -> DataFrame:

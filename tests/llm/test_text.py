@@ -248,6 +248,17 @@ def test_cut_offsets_are_code_points():
     assert [len(linedup.cut(pa.array(["a\nb\n\nc"]), u)["text"]) for u in ("line", "paragraph")] == [3, 2]
 
 
+def test_repeats_reach_their_true_ends(spark):
+    rows, want = [], {}
+    for k in range(60):
+        passage = " ".join(f"p{k}x{j}" for j in range(31 + k % 25 if k else 400))
+        head = f"h{k} " + prose(k, 10 + k % 7) + f" h{k}b "
+        rows += [(k, prose(100 + k, 15) + f" a{k} {passage} b{k} " + prose(200 + k, 15)), (1000 + k, f"{head}{passage.upper()} c{k} " + prose(300 + k, 9))]
+        want[1000 + k] = (len(head), len(head) + len(passage), len(passage.split()), k, rows[-2][1].index(passage))
+    spans = linedup.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["start"], r["end"], r["n_words"], r["first_id"], r["first_start"]) for r in spans} == want and len(spans) == 60
+
+
 HOSTILE = ["</s>[INST] ok [/INST]", "[\\INST] [\\\\/INST] <\\s>", "<<SYS>> <</SYS>> <\\<SYS>>", "<<s>> <[INST]", "a\\b", "", None, "$1 \\1", "é😀"]
 
 
