@@ -18,7 +18,7 @@ which is checked; beyond that both sides are shuffled by fingerprint.
 Defined results
 ---------------
 * text null, or without a word: no words, no hit; such an item has no window;
-* null item id: never listed; null document id: a row of its own, matched null-safe;
+* null item id: its windows are hits, but it is never listed; null document id: a row of its own, matched null-safe;
 * repeated items: each id is listed once; repeated documents: each row is returned;
 * a word in several windows is hit once;
 * an empty benchmark leaves every document clean;
@@ -59,7 +59,7 @@ def windows(items: DataFrame, key: str, text: str, k: int, width: int) -> DataFr
 
     ``at`` is the fingerprint's place within the window; whole short items have the hash of all their words.
     """
-    base = items.select(F.col(key).cast("string").alias("item_id"), words_of(F.col(text)).alias("w")).where("size(w) > 0 and item_id is not null")
+    base = items.select(F.col(key).cast("string").alias("item_id"), words_of(F.col(text)).alias("w")).where("size(w) > 0")
     long = (
         base.where(f"size(w) >= {width}")
         .withColumn("h", F.expr(_gram_hashes("w", k)))

@@ -259,6 +259,14 @@ def test_repeats_reach_their_true_ends(spark):
     assert {r["doc_id"]: (r["start"], r["end"], r["n_words"], r["first_id"], r["first_start"]) for r in spans} == want and len(spans) == 60
 
 
+def test_items_without_id_are_hits(spark):
+    item, short = prose(700, 14), "only six words are in here"
+    docs = spark.createDataFrame([(1, prose(1, 20) + " " + item + " " + prose(2, 9)), (2, f"x {short} y"), (3, prose(3, 40))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (None, short), (5, short)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["item_ids"], r["contaminated"]) for r in decontam.contamination(docs, items).collect()}
+    assert got == {1: (14, 0, [], True), 2: (6, 1, ["5"], True), 3: (0, 0, [], False)}
+
+
 HOSTILE = ["</s>[INST] ok [/INST]", "[\\INST] [\\\\/INST] <\\s>", "<<SYS>> <</SYS>> <\\<SYS>>", "<<s>> <[INST]", "a\\b", "", None, "$1 \\1", "é😀"]
 
 
