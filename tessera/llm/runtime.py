@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -14,17 +15,33 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, one in a temporary folder.
+    """The folder of ``spark.checkpoint.dir``; only where that is unset in a local session, one in a temporary folder.
 
-    The fallback serves local sessions such as tests; a cluster names a folder
-    that the driver and all executors share.
+    On a cluster the folder must be one that the driver and all executors share, so there it has to be named.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = Path(tempfile.gettempdir(), "checkpoints").as_uri()
     return folder.rstrip("/")
 
 
+#: Most bytes of one Arrow batch between the JVM and a Python worker; the default of 64 MB is paid several times over.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to ``BATCH_BYTES``, where it is higher.
+
+    A row of more bytes still travels whole, alone in its batch.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, so a lost executor costs nothing."""
     spark = df.sparkSession
@@ -36,14 +53,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def mark() -> int:
+    """How many tables have been written so far, for ``discard``."""
+    return len(_written)
+
+
+def discard(since: int) -> None:
+    """Delete the tables written since a ``mark``: call it when what was read from them is written itself."""
+    while len(_written) > since:
+        delete(*_written.pop())
+
+
 def _remove() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session has ended; the cluster's cleaner has the folder
-            return
+    try:
+        discard(0)
+    except Exception:  # noqa: BLE001  the session has ended; the cluster's cleaner has the folder
+        return
 
 
 def doc_bucket(doc_id: Column | str, buckets: int) -> Column:

@@ -7,7 +7,8 @@ opaque token.  A weak candidate is reported only where complementary parts meet:
 every part is an interval of code points, intervals are joined when they lie in
 one scope (a block of lines without a blank line between them) no further than
 ``reach`` code points apart, and a weak part is reported when its interval joins
-one of each kind that it needs:
+one of each kind that it needs (each question is two binary searches in the scope's
+starts and ends, so the work is linear in the text but for a logarithm):
 
 * an opaque token needs an identifier (access or user);
 * an endpoint needs an identifier and a secret (assignment or token that is reported);
@@ -18,7 +19,9 @@ exact, position-giving scan visits only texts that hold a candidate.
 
 Defined results
 ---------------
-* text null: as an empty text, no finding;
+* text null or empty: no finding, redacted as it is;
+* very long texts: scanned whole; an empty table gives an empty result;
+* a null key or any other null passes through, no column but the text is looked at;
 * overlapping kinds: each is reported, in order of start, then kind as listed;
 * repeated rows: each is scanned, with the same result;
 * other columns pass through ``scan`` untouched, except ones named like its
@@ -37,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import words
+from .runtime import small_batches
 
 # Base patterns; ASCII letters match in either case in the first.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -79,28 +83,30 @@ def _opaque(token: str) -> bool:
 
 
 class _Parts:
-    """Intervals by start, for joins with a reach inside one scope."""
+    """Intervals by scope, with their starts and their ends in order, for joins with a reach: two searches for each question."""
 
     def __init__(self, spans: list[tuple[int, int]], edges: list[int]):
         self.edges = edges
-        self.spans = sorted(spans)
-        self.starts = [s for s, _ in self.spans]
-        self.longest = max((e - s for s, e in self.spans), default=0)
+        self.scopes: dict[int, tuple[list[int], list[int]]] = {}
+        for s, e in spans:
+            starts, ends = self.scopes.setdefault(bisect_right(edges, s), ([], []))
+            starts.append(s)
+            ends.append(e)
+        for starts, ends in self.scopes.values():
+            starts.sort()
+            ends.sort()
 
     def meets(self, start: int, end: int, reach: int) -> bool:
-        """Whether an interval that does not overlap (start, end) lies in its scope and reach."""
-        if not self.spans:
+        """Whether an interval that does not overlap (start, end) starts in its scope and lies in reach."""
+        scope = self.scopes.get(bisect_right(self.edges, start))
+        if scope is None:
             return False
-        scope = bisect_right(self.edges, start)
-        low = self.edges[scope - 1] if scope else 0
-        high = self.edges[scope] if scope < len(self.edges) else float("inf")
-        at = bisect_left(self.starts, max(low, start - reach - self.longest))
-        while at < len(self.spans) and self.starts[at] < min(high, end + reach + 1):
-            s, e = self.spans[at]
-            if (e <= start or s >= end) and e >= start - reach:
-                return True
-            at += 1
-        return False
+        starts, ends = scope
+        after = bisect_left(starts, end)
+        if after < len(starts) and starts[after] <= end + reach:
+            return True
+        before = bisect_right(ends, start)
+        return before > 0 and ends[before - 1] >= start - reach
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 300) -> list[tuple[int, int, str]]:
@@ -111,15 +117,15 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 300)
         return []  # every rule needs an identifier
     edges = [m.end() for m in _BLANK.finditer(text)]
     assigned = [(s, e) for s, e, kind in base if kind != "access"]
-    covered = sorted(access + assigned + users)
-    starts = [s for s, _ in covered]
-    farthest = np.maximum.accumulate([e for _, e in covered]).tolist() if covered else []
+    covered = access + assigned + users
     endpoints = [m.span() for m in _ENDPOINT.finditer(text)]
-    in_endpoint = _Parts(endpoints, [])
+    taken = sorted(covered + endpoints)
+    starts = [s for s, _ in taken]
+    farthest = np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
     opaque = []
     for m in _OPAQUE.finditer(text):
         at = bisect_left(starts, m.end())
-        if not (at and farthest[at - 1] > m.start()) and _opaque(m.group()) and not any(s < m.end() and e > m.start() for s, e in in_endpoint.spans):
+        if not (at and farthest[at - 1] > m.start()) and _opaque(m.group()):
             opaque.append(m.span())
     identifiers = _Parts(access + users, edges)
     opaque = [x for x in opaque if identifiers.meets(*x, reach)]
@@ -152,7 +158,8 @@ def redact(text: str, found: list[tuple[int, int, str]], mask: str = "[REDACTED]
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
-_ARROW_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+#: Text bytes handled at once; one longer text is handled alone.
+CHUNK_BYTES = 2 << 20
 
 
 def scan(docs: DataFrame, text: str = "text", reach: int = 300, redacted: bool = False) -> DataFrame:
@@ -160,32 +167,39 @@ def scan(docs: DataFrame, text: str = "text", reach: int = 300, redacted: bool =
 
     One map over the input, no shuffle.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("spans", *(["redacted"] if redacted else []))
     added = [T.StructField("spans", SPAN)] + ([T.StructField("redacted", T.StringType())] if redacted else [])
 
     def run(batches):
-        for t in words.chunks(batches, text):
+        for t in words.chunks(batches, text, CHUNK_BYTES):
             texts = words.as_strings(t[text])
             hit = np.zeros(len(texts), bool)
             for pattern in _SCREEN.values():
                 hit |= np.asarray(pc.match_substring_regex(texts, pattern))
             rows = np.flatnonzero(hit)
-            found: list = [[]] * len(texts)
-            clean: dict[int, str] = {}
-            for i, own in zip(rows.tolist(), texts.take(pa.array(rows)).to_pylist(), strict=True):
-                found[i] = spans(own, reach)
-                if redacted and found[i]:
-                    clean[i] = redact(own, found[i])
-            column = [[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in found]
-            extra = [pa.array(column, _ARROW_SPAN)]
-            t = t.append_column("spans", extra[0])
+            counts = np.zeros(len(texts), np.int64)
+            found: list[tuple[int, int, str]] = []
+            clean: list[str] = []
+            masked = np.zeros(len(texts), bool)
+            for i in rows.tolist():
+                own = texts[i].as_py()
+                part = spans(own, reach)
+                counts[i] = len(part)
+                found += part
+                if redacted and part:
+                    masked[i] = True
+                    clean.append(redact(own, part))
+            parts = pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.string())], ["start", "end", "kind"])
+            column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), parts)
+            extra = [column]
             if redacted:
                 own = t[text].combine_chunks().cast(pa.string())
                 if clean:
-                    at = np.zeros(len(texts), bool)
-                    at[list(clean)] = True
-                    own = pc.replace_with_mask(own, pa.array(at), pa.array([clean[k] for k in sorted(clean)], pa.string()))
-                t = t.append_column("redacted", own)
+                    own = pc.replace_with_mask(own, pa.array(masked), pa.array(clean, pa.string()))
+                extra.append(own)
+            for name, column in zip(("spans", "redacted"), extra, strict=False):
+                t = t.append_column(name, column)
             yield from t.to_batches()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
