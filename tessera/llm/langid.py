@@ -11,6 +11,8 @@ Training is expectation-maximisation over that same lattice: the forward and
 backward sums give each piece's expected count.  It reads a sample of labelled
 documents with distinct texts that is bounded per language (``per_language``),
 chosen by a hash of the text so that it does not depend on order or partitioning.
+At most ``max_languages`` are learned, those with the most documents, so that the
+model that is broadcast (pieces x languages) is bounded whatever the column holds.
 
 Defined results
 ---------------
@@ -18,7 +20,9 @@ Defined results
 * null language: never learned from; no labelled row at all: every text is ``und``;
 * ties between languages: the alphabetically first;
 * repeated rows: each is scored, with the same result;
-* very long runs without white space: segmented in spans of 32 code points;
+* words of any length, very long runs without white space too: summed whole, over all
+  segmentations; those of over ``pieces.SPAN`` code points one at a time, in logarithms;
+* empty tables: an empty result; a model without languages calls every text ``und``;
 * other columns of the input pass through ``identify`` untouched, except ones
   named like its outputs, which are replaced.
 """
@@ -50,14 +54,10 @@ class Model:
     unknown: np.ndarray  # of a code point that is no piece
 
 
-def _word_spans(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the marked, lower-cased words in spans; span lengths; spans of each word."""
+def _marked(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the marked, lower-cased words, and their lengths."""
     strings = pc.binary_join_element_wise(pa.scalar(P.SPACE, pa.large_string()), pc.utf8_lower(strings.cast(pa.large_string())), pa.scalar("", pa.large_string()))
-    codes, lengths = P.code_points(strings)
-    pieces = np.maximum(1, -(-lengths // P.SPAN))
-    spans = np.full(int(pieces.sum()), P.SPAN, np.int64)
-    spans[np.cumsum(pieces) - 1] = lengths - (pieces - 1) * P.SPAN
-    return codes, spans, pieces
+    return P.code_points(strings)
 
 
 def _forward(model: Model, spans: dict, n: int, length: int) -> np.ndarray:
@@ -77,25 +77,54 @@ def _forward(model: Model, spans: dict, n: int, length: int) -> np.ndarray:
     return alpha
 
 
+def _long_edges(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, log probabilities (a column for each language) and indices of all pieces in one string, by end.
+
+    A code point that is no piece has an edge of its own, with index -1.
+    """
+    end, size, piece = P.edges(model.pieces, codes)
+    single = np.zeros(len(codes), bool)
+    single[end[size == 1] - 1] = True
+    lone = np.flatnonzero(~single) + 1
+    log = np.concatenate([np.log(model.prob[piece]), np.broadcast_to(np.log(model.unknown), (len(lone), len(model.languages)))])
+    start, end = np.concatenate([end - size, lone - 1]), np.concatenate([end, lone])
+    piece = np.concatenate([piece, np.full(len(lone), -1)])
+    order = np.argsort(end, kind="stable")
+    return start[order], end[order], log[order], piece[order]
+
+
+def _log_sums(start: np.ndarray, end: np.ndarray, log: np.ndarray, length: int) -> np.ndarray:
+    """log of the sum over all paths from place 0 to each place; edges come by end, and every place has one that ends there."""
+    out = np.zeros((length + 1, log.shape[1]))
+    first = np.searchsorted(end, np.arange(1, length + 2)).tolist()
+    for at in range(1, length + 1):
+        a, z = first[at - 1], first[at]
+        terms = out[start[a:z]] + log[a:z]
+        top = terms.max(axis=0)
+        out[at] = top + np.log(np.exp(terms - top).sum(axis=0))
+    return out
+
+
 def word_log_probs(model: Model, strings: pa.Array) -> np.ndarray:
     """log P(word | language), a row per word."""
-    codes, lengths, per_word = _word_spans(strings)
+    codes, lengths = _marked(strings)
     out = np.zeros((len(lengths), len(model.languages)))
-    for rows, matrix in P.by_length(codes, lengths):
+    for rows, matrix in P.by_length(codes, lengths, longest=P.SPAN):
         length = matrix.shape[1]
         alpha = _forward(model, P.lattice(model.pieces, matrix), len(rows), length)
         out[rows] = np.log(np.maximum(alpha[length], 1e-300)) - length * np.log(_SCALE)
-    if len(per_word) != len(out):
-        out = np.add.reduceat(out, np.cumsum(per_word) - per_word, axis=0)
+    starts = np.cumsum(lengths) - lengths
+    for i in np.flatnonzero(lengths > P.SPAN).tolist():
+        start, end, log, _ = _long_edges(model, codes[starts[i] : starts[i] + lengths[i]])
+        out[i] = _log_sums(start, end, log, int(lengths[i]))[-1] - lengths[i] * np.log(_SCALE)
     return out
 
 
 def _expected(model: Model, strings: pa.Array, weights: np.ndarray) -> np.ndarray:
     """Expected count of each piece in each language, given each word's counts per language."""
-    codes, lengths, per_word = _word_spans(strings)
-    weights = np.repeat(weights, per_word, axis=0)
+    codes, lengths = _marked(strings)
     total = np.zeros_like(model.prob)
-    for rows, matrix in P.by_length(codes, lengths):
+    for rows, matrix in P.by_length(codes, lengths, longest=P.SPAN):
         n, length = matrix.shape
         spans = P.lattice(model.pieces, matrix)
         alpha = _forward(model, spans, n, length)
@@ -110,6 +139,17 @@ def _expected(model: Model, strings: pa.Array, weights: np.ndarray) -> np.ndarra
             if end - start == 1:
                 at = np.flatnonzero(found < 0)
                 beta[start, at] += model.unknown * beta[end, at]
+    starts = np.cumsum(lengths) - lengths
+    for i in np.flatnonzero(lengths > P.SPAN).tolist():
+        length = int(lengths[i])
+        start, end, log, piece = _long_edges(model, codes[starts[i] : starts[i] + length])
+        forward = _log_sums(start, end, log, length)
+        order = np.argsort(length - start, kind="stable")  # the same sums from the other end
+        backward = _log_sums((length - end)[order], (length - start)[order], log[order], length)[::-1]
+        share = np.exp(forward[start] + log + backward[end] - forward[-1]) * weights[i]
+        known = piece >= 0
+        for k in range(total.shape[1]):
+            total[:, k] += np.bincount(piece[known], share[known, k], len(total))
     return total
 
 
@@ -130,15 +170,19 @@ def fit_words(pieces: P.Pieces, languages: list[str], documents: np.ndarray, str
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 600, path: str = P.MODEL_PATH) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 600, max_languages: int = 200, path: str = P.MODEL_PATH) -> Model:
     """Learn from ``per_language`` distinct texts of each non-null language (the documented sample bound), or all where there are fewer.
 
+    At most ``max_languages`` languages, those with the most documents, are learned.
     The languages and their document counts are taken over all rows; the driver
     then holds one count for each distinct word and language of the sample.
     """
+    runtime.small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
     rank = F.xxhash64("text")
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(rank).alias("texts")).collect()
+    # Distinct texts are merged first, so that a language with most of the rows is no single task's; the driver sees the most frequent alone.
+    per_text = rows.groupBy("lang", rank.alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+    found = per_text.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     sizes, texts = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["texts"] for r in found}
     languages = sorted(sizes)
     pieces = P.load(path, runs=False)
@@ -199,16 +243,20 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names.tolist(), np.where(letters, score, 0.0)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; one map over the input, no shuffle."""
+def identify(docs: DataFrame, model: Model, text: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; one map over the input, no shuffle.
+
+    The distinct words of ``chunk_bytes`` of text are scored once.
+    """
     from pyspark.sql import types as T
 
+    runtime.small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages, whatever the corpus
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        for t in words.chunks(batches, text, 12 << 20):  # distinct words are scored once in each
+        for t in words.chunks(batches, text, chunk_bytes):  
             names, score = score_texts(shared.value, t[text])
             t = t.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(score))
             yield from t.to_batches()

@@ -15,7 +15,7 @@ import pyarrow as pa
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: SentencePiece's mark for a space before a word.
 SPACE = "▁"
-#: Longer runs without white space are segmented in spans of this many code points (language identification) or one by one.
+#: Units of up to this many code points are handled many at a time, longer ones one by one; both whole.
 SPAN = 32
 
 _BASE = np.uint64(0x100000001B3)
@@ -56,8 +56,12 @@ class Pieces:
         return np.where(known[at] == keys, own[at], np.int32(-1))
 
 
-def load(path: str = MODEL_PATH, longest: int = 16, runs: bool = True) -> Pieces:
-    """Read the normal and byte pieces of a model. Pieces with an inner space mark are left out, but for ``runs`` of marks alone."""
+def load(path: str = MODEL_PATH, runs: bool = True) -> Pieces:
+    """Read the normal and byte pieces of a model.
+
+    Pieces with an inner space mark are left out, but for ``runs`` of marks alone;
+    no word, and no unit of encoding, holds one inside.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -68,7 +72,7 @@ def load(path: str = MODEL_PATH, longest: int = 16, runs: bool = True) -> Pieces
         if model.is_byte(i):
             byte_ids[int(text[3:5], 16)] = i
             byte_scores[int(text[3:5], 16)] = model.get_score(i)
-        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and len(text) <= longest and (SPACE not in text[1:] or (runs and not text.strip(SPACE))):
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and (SPACE not in text[1:] or (runs and not text.strip(SPACE))):
             texts.append(text)
             scores.append(model.get_score(i))
             ids.append(i)
