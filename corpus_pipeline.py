@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, neardup, secrets, spm
-from tessera.llm.runtime import doc_bucket, shared_dir, table, written
+from tessera.llm.runtime import delete, discard, doc_bucket, mark, shared_dir, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,8 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words, or any whole shorter item, of the benchmark."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), carry=("text", "lang", "source", "n_chars"))
-    return found.where("not contaminated").select(*COLUMNS)
+    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +56,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    Once a stage is written, the stage before it and the tables made on the way are deleted.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for at, (name, stage) in enumerate(STAGES, 1):
+        since = mark()
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES):
             path = f"{shared_dir(spark)}/pipeline-{at}-{name}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            discard(since)
+            if before:
+                delete(spark, before)
+            before = path
     return docs
