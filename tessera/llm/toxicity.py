@@ -8,14 +8,19 @@ and the L1 term keeps most weights at exactly zero, so that only the few others
 are broadcast.
 
 Training reads at most ``max_rows`` labelled rows (the documented sample bound),
-those with the lowest hash of their key and label, so the sample does not depend
-on order or partitioning; within it, rows are visited in that order.
+those of documents given for training with the lowest hash of their key and label, so
+the sample does not depend on order or partitioning; within it, rows are visited in
+that order.  A row has at most ``max_features`` coordinates in training, those with the
+lowest numbers of a longer text, so that the driver holds a bounded sample of features too;
+scoring looks at all of them.
 
 Defined results
 ---------------
-* text null or empty: no feature, the score is the bias alone;
+* text null or empty: no feature, the score is the bias alone; very long texts: scored whole;
 * null label, or a label other than 0 and 1: never learned from;
-* no labelled row at all: every score is 0;
+* no labelled row at all, or empty tables: every score is 0; no document, no result;
+* null key: never learned from, scored like any other;
+* ties of the sample's hash: by key, then label;
 * repeated rows: each is scored, with the same result; equal rows of labels count
   once in training;
 * other columns pass through ``score`` untouched, except ones named like its
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .runtime import small_batches
 
 #: Trimmed from both ends of a word before hashing.
 PUNCTUATION = ".,;:!?\"'()[]{}*#$%&|<>-_"
@@ -81,7 +87,7 @@ def features(texts: pa.Array, dims: int, order: int = 2, skip: int = 1, keep: np
     return (found & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=n)
 
 
-def fit_features(rows: list[np.ndarray], labels: np.ndarray, dims: int, order: int, skip: int, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0) -> Model:
+def fit_features(rows: list[np.ndarray], labels: np.ndarray, dims: int, order: int, skip: int, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> Model:
     """The FTRL-proximal recursion; weights are derived from z and n where they are needed."""
     z, n = np.zeros(dims + 1), np.zeros(dims + 1)  # the last coordinate is the bias, without L1
     penalty = np.full(dims + 1, l1)
@@ -106,10 +112,12 @@ def fit_features(rows: list[np.ndarray], labels: np.ndarray, dims: int, order: i
     return Model(index.astype(np.uint32), every[index], float(every[dims]), dims, order, skip)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 12_000, dims: int = 1 << 20, order: int = 2, skip: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 12_000, max_features: int = 20_000, dims: int = 1 << 20, order: int = 2, skip: int = 1) -> Model:
     """Learn from ``docs`` joined with ``labels`` on ``key``; only the sample's keys are joined, so no text is shuffled."""
+    small_batches(docs.sparkSession)
     rank = F.xxhash64("key", "label")
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and key is not null").distinct()
+    rows = rows.join(docs.select(F.col(key).alias("key")).distinct(), "key", "left_semi")  # labels of other documents take no place in the sample
     picked = F.broadcast(rows.withColumn("rank", rank).orderBy("rank", "key", "label").limit(max_rows))  # at most max_rows keys
     near = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(picked, "key")
 
@@ -117,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         for t in words.chunks(batches):
             found, counts = features(t["text"], dims, order, skip)
             ends = np.cumsum(counts)
-            blobs = [found[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
+            blobs = [found[e - c : e][:max_features].tobytes() for e, c in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([t["rank"].combine_chunks(), t["label"].combine_chunks(), pa.array(blobs, pa.binary())], ["rank", "label", "found"])
 
     table = near.mapInArrow(run, "rank long, label int, found binary").orderBy("rank", "label", "found").limit(max_rows).toArrow()
@@ -139,6 +147,7 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; one map over the input, no shuffle."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most dims weights, mostly far fewer
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
