@@ -4,19 +4,24 @@ Training counts all tokens and all pairs of neighbouring tokens of the training
 texts.  Pair counts are quantised to powers of two and held in a Bloom filter: a
 pair of level ``q`` is inserted together with each of the levels below, so its
 level is read back by probing for level 1, 2, ... until a probe fails.  The
-filter's false positives can only raise a level, never lose one.
+filter's false positives can only raise a level, never lose one; with 24 probes
+one in 2 ** 24 answers is too high, and no pair counts for more than its tokens.
 
 Every pair that occurs is held, also one seen once, so the filter grows with the
 corpus.  It is cut in slices by pair bucket, each as large as its own pairs need,
 and no worker or driver ever holds it whole.  Only pairs never seen are scored by
-their tokens alone.
+their tokens alone.  Keys are whole 64-bit hashes, and the number of buckets
+follows the bytes of the training texts alone, so scores are a function of the
+corpus and do not depend on the cluster or on any setting of the session.
 
 Neither the filter nor the exact token counts fit on a worker.  Texts are dealt
 out in chunks of bounded size; each chunk asks for the counts of its distinct
 tokens and the levels of its distinct pairs, the request meets the counts or the
 slice bucket by bucket, and the answer returns to the chunk.  Counts, requests
 and answers travel as packed arrays, one row for each kind, chunk and bucket,
-pre-aggregated before every shuffle.
+pre-aggregated before every shuffle.  Rows that are repeated so often that they
+would overfill a chunk (equal id and text, or both null) are scored once and
+returned as often as they occur.
 
 A token's probability after ``h`` mixes ``(1 - x) * unigram + x * pair(h, w) /
 count(h)``.  Each text takes its own Bayesian mixture over the weights
@@ -30,6 +35,7 @@ Defined results
 ---------------
 * text null or empty: one end token;
 * null id: trained on, and scored as a row of its own;
+* very long texts: whole, alone in a chunk where they fill it;
 * no training row: every count is 0 and every probability 1 / (0 + 1 * (0 + 1)) = 1;
 * repeated rows: each is counted and each is scored, with the same result;
 * an empty table gives an empty result; other columns are not read.
@@ -38,7 +44,6 @@ Defined results
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,67 +51,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .runtime import parallelism, written
+from .runtime import small_batches, written
 
 WEIGHTS = np.array([0.0, 0.05, 0.3, 0.7, 0.95])
 PRIOR = np.array([0.5, 0.125, 0.125, 0.125, 0.125])
 #: Hashes of two strings that are no words, for a text's end and start.
 END, START = (int(x) for x in words.string_hashes(pa.array([" ", "\n"])))
-_KEY = np.uint64((1 << 40) - 1)
+#: Training text bytes for each bucket of tokens or pairs.
+BUCKET_BYTES = 8 << 20
+PROBES = 24
 
 
-@dataclass
-class Filter:
-    """Pair levels. ``cut`` is the count of level 1; slices lie one after the other, one for each bucket."""
-
-    bits: int  # of the bucket number
-    cut: int
-    probes: int
-    data: np.ndarray
-    first: np.ndarray  # first bit of each slice
-    size: np.ndarray  # bits of each slice, 0 where there is none
-
-
-def _positions(key: np.ndarray, level: int, probes: int, size: np.ndarray) -> list[np.ndarray]:
+def _steps(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and step of each key's probes at a level."""
     one = words.mix64(key ^ np.uint64((level * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
-    two = words.mix64(one) | np.uint64(1)
-    return [(one + np.uint64(j) * two) % size for j in range(probes)]
+    return one, words.mix64(one) | np.uint64(1)
 
 
-def _levels(count: np.ndarray, cut: int) -> np.ndarray:
-    return (np.log2(count / cut) + 1e-9).astype(np.int64) + 1
+def levels(count: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7, ..."""
+    return np.frexp(count.astype(np.float64))[1].astype(np.int64)
 
 
-def filter_slice(key: np.ndarray, count: np.ndarray, cut: int, probes: int) -> tuple[bytes, int]:
+def filter_slice(key: np.ndarray, count: np.ndarray, probes: int = PROBES) -> tuple[bytes, int]:
     """The bit array of one bucket's pairs, and its size in bits."""
-    keep = count >= cut
-    key, level = key[keep], _levels(count[keep], cut)
+    level = levels(count)
     size = 8 * math.ceil(max(64, int(level.sum()) * probes / math.log(2)) / 8)
     bits = np.zeros(size, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
-        for at in _positions(key[level >= q], q, probes, np.uint64(size)):
-            bits[at] = 1
+        one, two = _steps(key[level >= q], q)
+        for j in range(probes):
+            bits[(one + np.uint64(j) * two) % np.uint64(size)] = 1
     return np.packbits(bits).tobytes(), size
 
 
-def probe(model: Filter, pair: np.ndarray) -> np.ndarray:
-    """Level of each pair hash; 0 where it is below the cut or unseen."""
+def probe(raw: bytes, size: int, pair: np.ndarray, probes: int = PROBES) -> np.ndarray:
+    """Level of each pair hash in one slice; 0 where it is unseen."""
     out = np.zeros(len(pair), np.int64)
-    if not len(model.data):
-        return out
-    bucket = (pair >> np.uint64(64 - model.bits)).astype(np.int64)
-    size = model.size[bucket]
-    live = np.flatnonzero(size)
-    level = 1
-    while len(live):
-        key, own = pair[live] & _KEY, size[live].astype(np.uint64)
-        first = model.first[bucket[live]]
-        one = words.mix64(key ^ np.uint64((level * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
-        two = words.mix64(one) | np.uint64(1)
+    data, live, level = np.frombuffer(raw, np.uint8), np.arange(len(pair)), 1
+    while size and len(live):
+        one, two = _steps(pair[live], level)
         sure = np.arange(len(live))
-        for j in range(model.probes):
-            at = first[sure] + ((one[sure] + np.uint64(j) * two[sure]) % own[sure]).astype(np.int64)
-            sure = sure[(model.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+        for j in range(probes):
+            at = (one[sure] + np.uint64(j) * two[sure]) % np.uint64(size)
+            sure = sure[(data[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1]
         live = live[sure]
         out[live] = level
         level += 1
@@ -127,17 +115,6 @@ def pairs(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return words.mix64(words.mix64(before) * np.uint64(3) + hashes)
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """The low five bytes of each key."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def _pack_counts(counts: np.ndarray) -> bytes:
     """A byte for each small count; 255 there, and eight bytes at the end, for a larger one."""
     large = counts >= 255
@@ -154,11 +131,6 @@ _COUNTS = "kind int, bucket int, keys binary, counts binary"
 _MERGED = "kind int, bucket int, keys binary, counts binary, size long, total long, types long"
 
 
-def _kept(pair: np.ndarray, bits: int) -> np.ndarray:
-    """Only the bucket and forty bits of a pair's hash are kept."""
-    return pair & np.uint64((((1 << bits) - 1) << (64 - bits)) | ((1 << 40) - 1))
-
-
 def _runs(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """Bucket, start and end of each run of sorted keys in one bucket."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -173,18 +145,18 @@ def count_table(training: DataFrame, text: str, bits: int, probes: int) -> DataF
         for t in words.chunks(batches, "text", 16 << 20):
             hashes, counts = tokens(t["text"])
             rows: dict[str, list] = {"kind": [], "bucket": [], "keys": [], "counts": []}
-            for kind, values in ((0, hashes), (1, _kept(pairs(hashes, counts), bits))):
+            for kind, values in ((0, hashes), (1, pairs(hashes, counts))):
                 keys, n = np.unique(values, return_counts=True)
                 for bucket, s, e in _runs(keys, bits):
                     rows["kind"].append(kind)
                     rows["bucket"].append(bucket)
-                    rows["keys"].append(_pack(keys[s:e]) if kind else keys[s:e].tobytes())
+                    rows["keys"].append(keys[s:e].tobytes())
                     rows["counts"].append(_pack_counts(n[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array(rows["kind"], pa.int32()), pa.array(rows["bucket"], pa.int32()), pa.array(rows["keys"], pa.binary()), pa.array(rows["counts"], pa.binary())], ["kind", "bucket", "keys", "counts"])
 
     def merge(group: pa.Table) -> pa.Table:
         kind = group["kind"][0].as_py()
-        keys = [_unpack(x) if kind else np.frombuffer(x, np.uint64) for x in group["keys"].to_pylist()]
+        keys = [np.frombuffer(x, np.uint64) for x in group["keys"].to_pylist()]
         counts = [_unpack_counts(x, len(k)) for x, k in zip(group["counts"].to_pylist(), keys, strict=True)]
         key, count = np.concatenate(keys), np.concatenate(counts)
         del keys, counts
@@ -193,7 +165,7 @@ def count_table(training: DataFrame, text: str, bits: int, probes: int) -> DataF
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         key, count = key[at], np.add.reduceat(count, at)
         if kind:
-            held, size = filter_slice(key, count, 1, probes)
+            held, size = filter_slice(key, count, probes)
             packed = b""
         else:
             held, size, packed = key.tobytes(), 0, _pack_counts(count)
@@ -202,35 +174,40 @@ def count_table(training: DataFrame, text: str, bits: int, probes: int) -> DataF
     return training.select(F.col(text).alias("text")).mapInArrow(count, _COUNTS).groupBy("kind", "bucket").applyInArrow(merge, _MERGED)
 
 
-def _slice_levels(raw: bytes, size: int, probes: int, pair: np.ndarray) -> np.ndarray:
-    """Level of each pair, given by its forty bits, in one bucket's slice."""
-    return probe(Filter(1, 1, probes, np.frombuffer(raw, np.uint8), np.zeros(2, np.int64), np.full(2, size, np.int64)), pair)
-
-
-def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", probes: int = 8, chunk_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", probes: int = PROBES, chunk_bytes: int = 12 << 20) -> DataFrame:
     """One row per document: (``key``, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
-    bits = max(6, min(20, math.ceil(math.log2(4 * parallelism(spark)))))
+    small_batches(spark)
+    seen = training.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    training_texts = int(seen["n"])
+    bits = max(6, min(20, math.ceil(math.log2(max(1, seen["bytes"] / BUCKET_BYTES)))))
     counts = written(count_table(training, text, bits, probes), "counts")
     sums = counts.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = int(sums["n"]), int(sums["v"])
-    training_texts = training.count()
 
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    size = int(base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    chunks = max(1, math.ceil(size / chunk_bytes))
     # Dealt by id and text, so that neither rows with one id nor copies meet in one chunk.
-    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks)))
+    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("row", F.xxhash64("key", "text"))
+    sizes = base.groupBy("row").agg(F.count(F.lit(1)).alias("many"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("bytes"))
+    size = int(sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+    chunks = max(1, math.ceil(size / chunk_bytes))
+    hot = written(sizes.where((F.col("many") > 1) & (F.col("bytes") > chunk_bytes // 4)).select("row"), "hot")
+    repeated = hot.count() > 0
+    if repeated:
+        once = base.join(hot.select("row"), "row").groupBy("key", "text", "row").agg(F.count(F.lit(1)).alias("many"))
+        base = base.join(hot, "row", "left_anti").withColumn("many", F.lit(1).cast("long")).unionByName(once)
+    else:
+        base = base.withColumn("many", F.lit(1).cast("long"))
+    dealt = base.select("key", "text", "many", F.pmod("row", F.lit(chunks)).alias("chunk"))
 
     def ask(group: pa.Table) -> pa.Table:
         hashes, counts = tokens(group["text"])
         rows: dict[str, list] = {"kind": [], "bucket": [], "keys": []}
-        for kind, values in ((0, hashes), (1, _kept(pairs(hashes, counts), bits))):
+        for kind, values in ((0, hashes), (1, pairs(hashes, counts))):
             own = np.unique(values)
             for bucket, s, e in _runs(own, bits):
                 rows["kind"].append(kind)
                 rows["bucket"].append(bucket)
-                rows["keys"].append(_pack(own[s:e]) if kind else own[s:e].tobytes())
+                rows["keys"].append(own[s:e].tobytes())
         return pa.table({"chunk": pa.array([group["chunk"][0].as_py()] * len(rows["kind"]), pa.int64()), "kind": pa.array(rows["kind"], pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "keys": pa.array(rows["keys"], pa.binary())})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -243,11 +220,11 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
             key = np.frombuffer(held, np.uint64)
             count = _unpack_counts(known["counts"][0].as_py(), len(key)) if len(key) else np.zeros(0, np.int64)
         for raw in asked["keys"].to_pylist():
-            own = _unpack(raw) if pair else np.frombuffer(raw, np.uint64)
+            own = np.frombuffer(raw, np.uint64)
             if not held:
                 found = np.zeros(len(own), np.int64)
             elif pair:
-                found = _slice_levels(held, known["size"][0].as_py(), probes, own)
+                found = probe(held, known["size"][0].as_py(), own, probes)
             else:
                 at = np.minimum(np.searchsorted(key, own), len(key) - 1)
                 found = np.where(key[at] == own, count[at], 0)
@@ -257,7 +234,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
 
     def judge(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return pa.schema([("key", group.schema.field("key").type), *_RESULT]).empty_table()
+            return pa.schema([("key", group.schema.field("key").type), ("many", pa.int64()), *_RESULT]).empty_table()
         answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         kinds = np.asarray(answers["kind"])
         each = [_unpack_counts(c, k) for c, k in zip(answers["counts"].to_pylist(), answers["n"].to_pylist(), strict=True)]
@@ -265,7 +242,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
         # Distinct tokens and pairs are in the order of the answers.
         _, place = np.unique(hashes, return_inverse=True)
         count = np.concatenate([x for x, kind in zip(each, kinds, strict=True) if not kind])[place]
-        _, place = np.unique(_kept(pairs(hashes, sizes), bits), return_inverse=True)
+        _, place = np.unique(pairs(hashes, sizes), return_inverse=True)
         del hashes
         level = np.concatenate([x for x, kind in zip(each, kinds, strict=True) if kind]).astype(np.int8)[place]
         del place, each
@@ -275,7 +252,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
             start = int(ends[low] - sizes[low])
             high = max(low + 1, int(np.searchsorted(ends, start + (1 << 19), side="right")))
             part = slice(start, int(ends[high - 1]))
-            rows.append(_scored(group["key"].slice(low, high - low), sizes[low:high], count[part], level[part], n, v, training_texts))
+            rows.append(_scored(group.select(["key", "many"]).slice(low, high - low), sizes[low:high], count[part], level[part], n, v, training_texts))
             low = high
         return pa.concat_tables(rows)
 
@@ -283,14 +260,16 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     held = counts.select("kind", "bucket", "keys", "counts", "size")
     answers = asked.groupBy("kind", "bucket").cogroup(held.groupBy("kind", "bucket")).applyInArrow(answer, "chunk long, kind int, bucket int, n int, counts binary")
     kind = dict(base.dtypes)["key"]
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("key", key)
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, f"key {kind}, many long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    if repeated:
+        out = out.withColumn("many", F.explode(F.sequence(F.lit(1).cast("long"), "many")))
+    return out.drop("many").withColumnRenamed("key", key)
 
 
 _RESULT = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def _scored(key: pa.ChunkedArray, sizes: np.ndarray, c: np.ndarray, level: np.ndarray, n: int, v: int, training_texts: int) -> pa.Table:
+def _scored(rows: pa.Table, sizes: np.ndarray, c: np.ndarray, level: np.ndarray, n: int, v: int, training_texts: int) -> pa.Table:
     doc = np.repeat(np.arange(len(sizes)), sizes)
     unigram = (c + 1) / (n + 1 * (v + 1))
     before = np.empty_like(c)
@@ -306,5 +285,5 @@ def _scored(key: pa.ChunkedArray, sizes: np.ndarray, c: np.ndarray, level: np.nd
     top = logs.max(axis=0)
     total = top + np.log10((10.0 ** (logs - top)).sum(axis=0))
     base = np.bincount(doc, np.log10(unigram), len(sizes))
-    arrays = [key.combine_chunks(), pa.array(sizes.astype(np.int64)), pa.array(np.bincount(doc, c > 0, len(sizes)).astype(np.int64)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base), pa.array(total)]
-    return pa.Table.from_arrays(arrays, ["key", *[name for name, _ in _RESULT]])
+    arrays = [rows["key"].combine_chunks(), rows["many"].combine_chunks(), pa.array(sizes.astype(np.int64)), pa.array(np.bincount(doc, c > 0, len(sizes)).astype(np.int64)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base), pa.array(total)]
+    return pa.Table.from_arrays(arrays, ["key", "many", *[name for name, _ in _RESULT]])

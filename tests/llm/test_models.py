@@ -126,13 +126,58 @@ def test_lm_base_and_order(spark, odd, none):
 
 def test_filter_never_forgets_and_is_bounded():
     r = np.random.default_rng(1)
-    key = r.integers(0, 1 << 40, 5000, dtype=np.uint64)
+    key = r.integers(0, 1 << 63, 5000, dtype=np.uint64)
     count = r.integers(1, 300, 5000)
-    raw, size = lm.filter_slice(key, count, 2, 8)
-    model = lm.Filter(6, 2, 8, np.frombuffer(raw, np.uint8), np.zeros(64, np.int64), np.full(64, size, np.int64))
-    level = lm.probe(model, key)
-    assert (level[count >= 2] >= lm._levels(count[count >= 2], 2)).all()
-    assert (lm.probe(model, r.integers(0, 1 << 40, 20_000, dtype=np.uint64)) > 0).mean() < 0.02
+    raw, size = lm.filter_slice(key, count)
+    want = [int(math.log2(c)) + 1 for c in count.tolist()]
+    assert lm.levels(count).tolist() == want and lm.probe(raw, size, key).tolist() == want
+    other = r.integers(0, 1 << 63, 50_000, dtype=np.uint64)
+    assert (lm.probe(raw, size, other) > 0).sum() == 0
+    few, bits = lm.filter_slice(key, count, 4)
+    assert (lm.probe(few, bits, key, 4) >= want).all() and 0 < (lm.probe(few, bits, other, 4) > 0).mean() < 0.1
+
+
+def brute_scores(rows, train):
+    """Scores of the model with exact pair levels, one text after another."""
+    own = [tokens(t) for _, t in train]
+    single = collections.Counter(t for x in own for t in x)
+    double = collections.Counter(p for x in own for p in zip([None, *x], x, strict=False))
+    n, v = sum(single.values()), len(single)
+    out = {}
+    for i, text in rows:
+        x = tokens(text)
+        logs = []
+        for weight, prior in zip(lm.WEIGHTS, lm.PRIOR, strict=True):
+            total = math.log10(prior)
+            for before, token in zip([None, *x], x, strict=False):
+                count = 2 ** int(math.log2(double[before, token])) if double[before, token] else 0
+                context = len(train) if before is None else single[before]
+                ratio = min(count, single[token], context) / context if count else 0.0
+                total += math.log10((1 - weight) * (single[token] + 1) / (n + v + 1) + weight * ratio)
+            logs.append(total)
+        top = max(logs)
+        out[i] = top + math.log10(sum(10 ** (a - top) for a in logs))
+    return out
+
+
+def test_lm_score_against_brute_force_and_any_number_of_partitions(spark):
+    rows = [(i, prose(i % 50, 30 + i % 7, ["ka", "to", "mi", "ra"])) for i in range(90)] + [(200, "of the of the of the"), (201, None), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_scores(rows, [r for r in rows if r[0] % 3 != 2])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = {r["doc_id"]: r["score"] for r in lm.score(docs, docs.where("doc_id % 3 <> 2"), chunk_bytes=1500).collect()}
+            assert got == pytest.approx(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lm_rows_repeated_beyond_a_chunk(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h")] * 300 + [(None, None)] * 500 + [(2, "a b"), (3, "c d e")], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in lm.score(docs, docs, chunk_bytes=2000).collect())
+    assert sorted(got.values()) == [1, 1, 300, 500] and {k[0]: k[1] for k in got} == {1: 9, None: 1, 2: 3, 3: 4}
 
 
 def test_lm_pairs_of_any_count_are_scored(spark):
@@ -187,3 +232,75 @@ def test_quality_keeps_good_documents(spark, odd, none):
     assert all(got[i] for i in range(1600, 1700))  # too few labels to certify a cutoff
     assert {r["kept"] for r in quality.filtered(odd.withColumnRenamed("label", "l2"), labels.limit(0)).collect() if r["doc_id"] in (1, 2, 3)} == {False}
     assert quality.filtered(none, labels).count() == 0
+
+
+def test_long_words_are_summed_whole():
+    texts = ["▁a", "▁", "a", "b", "ab", "ba", "aab", "c" * 20]
+    p = pieces.Pieces(texts, np.zeros(len(texts)), np.arange(len(texts)), np.arange(256), np.zeros(256))
+    strings = pa.array(["ab" * 40, "a" * 60 + "z" + "b" * 9, "c" * 45, "aab"])
+    counts = np.array([[2.0, 1.0], [1.0, 0.0], [1.0, 3.0], [0.0, 2.0]])
+    model = langid.fit_words(p, ["x", "y"], np.array([1.0, 1.0]), strings, counts, rounds=2)
+
+    def forward(model, s, k):
+        """Plain sums over all places, and the expected count of each piece by leaving out one edge at a time."""
+        s, sums = "▁" + s, [1.0]
+        edges = []
+        for end in range(1, len(s) + 1):
+            own = [(end - len(t), i, model.prob[i, k] / 16.0 ** len(t)) for i, t in enumerate(texts) if s[:end].endswith(t)]
+            if not any(end - a == 1 for a, _, _ in own):
+                own.append((end - 1, None, model.unknown[k] / 16.0))
+            sums.append(sum(sums[a] * q for a, _, q in own))
+            edges.append(own)
+        back = [0.0] * len(s) + [1.0]
+        expected = np.zeros(len(texts))
+        for end in range(len(s), 0, -1):
+            for a, i, q in edges[end - 1]:
+                back[a] += q * back[end]
+                if i is not None:
+                    expected[i] += sums[a] * q * back[end]
+        return math.log(sums[-1]), expected / sums[-1]
+
+    logs = langid.word_log_probs(model, strings)
+    total = langid._expected(model, strings, counts)
+    for k in range(2):
+        each = [forward(model, x, k) for x in strings.to_pylist()]
+        assert logs[:, k] == pytest.approx([x for x, _ in each])
+        assert total[:, k] == pytest.approx(sum(c * x for c, (_, x) in zip(counts[:, k], each, strict=True)))
+
+
+def test_ftrl_against_the_plain_recursion():
+    r = np.random.default_rng(4)
+    dims, alpha, beta, l1 = 16, 0.5, 1.0, 0.6
+    rows = [np.unique(r.integers(0, dims, 5)).astype(np.uint32) for _ in range(60)]
+    labels = np.array([float(3 in x) for x in rows])
+    z, n = [0.0] * (dims + 1), [0.0] * (dims + 1)
+
+    def weight(i):
+        penalty = 0.0 if i == dims else l1
+        return 0.0 if abs(z[i]) <= penalty else -(z[i] - math.copysign(penalty, z[i])) / ((beta + math.sqrt(n[i])) / alpha)
+
+    for _ in range(2):
+        for row, label in zip(rows, labels, strict=True):
+            own = [*row.tolist(), dims]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in own:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    model = toxicity.fit_features(rows, labels, dims, 2, 1, epochs=2, alpha=alpha, beta=beta, l1=l1)
+    want = {i: weight(i) for i in range(dims) if weight(i)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(want) and 0 < len(want) < dims
+    assert model.bias == pytest.approx(weight(dims))
+    texts = pa.array(["a b c", "", "idiot a", None])
+    found, counts = toxicity.features(texts, dims)
+    ends = np.cumsum(counts)
+    want_scores = [1 / (1 + math.exp(-(weight(dims) + sum(weight(i) for i in found[e - c : e].tolist())))) for e, c in zip(ends, counts, strict=True)]
+    assert toxicity.score_texts(model, texts).tolist() == pytest.approx(want_scores)
+
+
+def test_toxicity_sample_is_of_training_documents(spark):
+    docs = spark.createDataFrame([(i, prose(i, 20) + (" scum" if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_rows=40)
+    got = toxicity.score(docs, model).collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.9
