@@ -11,12 +11,15 @@ at places that the words themselves choose: after a word whose hash with the nex
 word's is the lowest within ``SPREAD`` words on either side.  Copies of a passage
 are cut alike wherever they stand, but for some words at either end.  A run of
 repeated passage units is therefore only a seed, from ``seed_words`` words: its first
-unit's kept occurrence is compared with it word by word to the left, its last unit's
-to the right, until they differ.  Both sides of a seed ask their documents for
+telling unit (of ``TELLING`` words or more, or else its longest; shorter ones also occur
+by chance elsewhere) is compared with its kept occurrence word by word to the left, its
+last telling unit to the right, until they differ.  Both sides of a seed ask their documents for
 ``reach`` words; seeds that agree on all of them ask again for more.
 
 Runs of adjoining repeats, with these words, are removed if they have ``min_words``
-words or more together, so that a short line that many documents share stays.
+words or more together, so that a short line that many documents share stays.  A
+passage unit has at most ``LONGEST`` words, so most words of a removed run were
+compared one by one, and no chance agreement of two digests removes a text.
 
 Ranks are (``key``, offset): the smallest id keeps a unit.
 
@@ -25,6 +28,7 @@ Defined results
 * text null or without a word: no unit, nothing removed;
 * null id: takes no part, its text is kept whole;
 * repeated rows (equal id and offsets): the same occurrence, kept or removed alike;
+* ties: of equal ids and offsets, one occurrence; very long texts: cut and compared whole;
 * an empty table gives an empty result;
 * ``removed_spans`` reads two columns only; ``deduplicate`` keeps all others.
 """
@@ -43,11 +47,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .runtime import written
+from .runtime import small_batches, written
 
 SPREAD = 3
 #: Where words repeat so that no place is the lowest, a passage unit still ends after so many.
 LONGEST = 16
+#: Words of a unit that hardly occurs twice by chance.
+TELLING = 4
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -108,6 +114,8 @@ def cut(texts: pa.Array, unit: str = "passage") -> dict[str, np.ndarray]:
 
 
 def units(docs: DataFrame, key: str, text: str, unit: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for t in words.chunks(batches, "text", 4 << 20):
             found = cut(t["text"], unit)
@@ -119,16 +127,16 @@ def units(docs: DataFrame, key: str, text: str, unit: str) -> DataFrame:
 
 
 _SPANS = "id long, start int, end int, n_words int, n_units int, first_id long, first_start int"
-#: Runs also name the kept occurrence of their last unit.
-_RUNS = f"{_SPANS}, last_id long, last_start int, last_words int"
+#: Runs also name the kept occurrences of their first and last telling units, and where in the text these begin and end.
+_RUNS = f"{_SPANS}, l_id long, l_start int, own_l int, r_id long, r_start int, r_words int, own_r int"
 _RUN = [c.split()[0] for c in _RUNS.split(", ")]
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _contexts(texts: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
-    """Up to ``reach`` words before and after each run, and beside the kept occurrences (``own`` false), each place once."""
-    left = runs.select(F.col("first_id").alias("id"), F.col("first_start").alias("at"), F.lit(0).alias("skip"))
-    right = runs.select(F.col("last_id").alias("id"), F.col("last_start").alias("at"), F.col("last_words").alias("skip"))
+    """Up to ``reach`` words before and after each run's telling units, and beside the kept occurrences (``own`` false), each place once."""
+    left = runs.select(F.col("l_id").alias("id"), F.col("l_start").alias("at"), F.lit(0).alias("skip"))
+    right = runs.select(F.col("r_id").alias("id"), F.col("r_start").alias("at"), F.col("r_words").alias("skip"))
     asked = left.unionByName(right).distinct().select("id", F.struct("at", "skip").alias("ask"), F.expr("null").alias("run"))
     own = runs.select("id", F.expr("null").alias("ask"), F.struct(*_RUN[1:]).alias("run"))
     every = asked.unionByName(own).groupBy("id").agg(F.collect_list("ask").alias("asks"), F.collect_list("run").alias("runs"))
@@ -156,9 +164,9 @@ def _contexts(texts: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
                     else:
                         out.append({"id": i, "own": False, "at": x["at"], "skip": 0, "before": before(x["at"])[0]})
                 for x in runs:
-                    head, a = before(x["start"])
-                    z = bisect_left(starts, x["end"])
-                    out.append({"id": i, "own": True, "before": head, "after": after(x["end"], z), "a": a, "z": z, **x})
+                    head, a = before(x["own_l"])
+                    z = bisect_left(starts, x["own_r"])
+                    out.append({"id": i, "own": True, "before": head, "after": after(x["own_r"], z), "a": a, "z": z, **x})
             yield from pa.Table.from_pylist(out, schema).to_batches()
 
     ddl = f"{_RUNS}, own boolean, at int, skip int, before string, after string, a int, z int"
@@ -174,10 +182,10 @@ def _compared(context: DataFrame, reach: int) -> DataFrame:
     """Runs with their true ends (``from``, ``to``; words ``a`` to ``z``), ``open`` where they agree as far as was asked."""
     own = context.where("own").select(*_RUN, "a", "z", "before", "after")
     other = context.where("not own")
-    left = other.where("skip = 0").groupBy(F.col("id").alias("l_id"), F.col("at").alias("l_at")).agg(F.min("before").alias("l"))
-    right = other.where("skip > 0").groupBy(F.col("id").alias("r_id"), F.col("at").alias("r_at"), F.col("skip").alias("r_skip")).agg(F.min("after").alias("r"))
+    left = other.where("skip = 0").groupBy(F.col("id").alias("kl_id"), F.col("at").alias("kl_at")).agg(F.min("before").alias("l"))
+    right = other.where("skip > 0").groupBy(F.col("id").alias("kr_id"), F.col("at").alias("kr_at"), F.col("skip").alias("kr_skip")).agg(F.min("after").alias("r"))
     # Hot occurrences are on the streamed side, as above.
-    met = own.join(left, F.expr("first_id = l_id and first_start = l_at"), "left").join(right, F.expr("last_id = r_id and last_start = r_at and last_words = r_skip"), "left")
+    met = own.join(left, F.expr("l_id = kl_id and l_start = kl_at"), "left").join(right, F.expr("r_id = kr_id and r_start = kr_at and r_words = kr_skip"), "left")
 
     def run(batches):
         for batch in batches:
@@ -187,13 +195,13 @@ def _compared(context: DataFrame, reach: int) -> DataFrame:
                 n = 0
                 while n < min(len(mine), len(theirs)) and mine[-1 - n][0] == theirs[-1 - n][0]:
                     n += 1
-                x["from"] = x["start"] - (len(x["before"]) - mine[-n].start() if n else 0)
-                x["origin"] = x["first_start"] - (len(x["l"]) - theirs[-n].start() if n else 0)
+                x["from"] = x["own_l"] - (len(x["before"]) - mine[-n].start() if n else 0)
+                x["first_id"], x["origin"] = x["l_id"], x["l_start"] - (len(x["l"]) - theirs[-n].start() if n else 0)
                 mine, theirs = list(_WORD.finditer(x["after"])), _WORD.findall(x["r"] or "")
                 m = 0
                 while m < min(len(mine), len(theirs)) and mine[m][0] == theirs[m]:
                     m += 1
-                x["to"] = x["end"] + (mine[m - 1].end() if m else 0)
+                x["to"] = x["own_r"] + (mine[m - 1].end() if m else 0)
                 x["a"], x["z"], x["open"] = x["a"] - n, x["z"] + m, max(n, m) >= reach
             yield from pa.Table.from_pylist(rows, schema).to_batches()
 
@@ -255,7 +263,12 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit
             stop = np.concatenate((at[1:], [len(place)]))
             keep = np.flatnonzero(total >= least)
             a, z = at[keep], stop[keep] - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[a])), pa.array(start[a]), pa.array(end[z]), pa.array(total[keep].astype(np.int32)), pa.array((z - a + 1).astype(np.int32)), pa.array(first_id[a]), pa.array(first_start[a]), pa.array(first_id[z]), pa.array(first_start[z]), pa.array(count[z])], _RUN)
+            weight = np.minimum(count, TELLING).astype(np.int64) * (len(count) + 1)  # the first, or last, of the longest up to that
+            low = np.array([x + int((weight[x : y + 1] - np.arange(y + 1 - x)).argmax()) for x, y in zip(a.tolist(), z.tolist(), strict=True)], np.int64)
+            high = np.array([x + int((weight[x : y + 1] + np.arange(y + 1 - x)).argmax()) for x, y in zip(a.tolist(), z.tolist(), strict=True)], np.int64)
+            spans = [start[a], end[z], total[keep].astype(np.int32), (z - a + 1).astype(np.int32), first_id[a], first_start[a]]
+            telling = [first_id[low], first_start[low], start[low], first_id[high], first_start[high], count[high], end[high]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[a])), *map(pa.array, spans + telling)], _RUN)
 
     runs = grouped.mapInArrow(run, _RUNS)
     if unit == "passage":
