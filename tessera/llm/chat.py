@@ -1,7 +1,10 @@
 """Chat formatting in budgeted windows, in DataFrame functions alone.
 
 A conversation is cut into windows of at most ``budget`` tokens.  Prefix sums of
-the turns' token counts choose the spans, which are aligned to turns.  Every
+the turns' token counts choose the spans, which are aligned to turns: every turn's
+successor as a window's start is found by halving, and the starts are those reached
+from the first turn, in jumps that double, so a conversation of n turns takes n log n
+steps.  Every
 window after the first repeats the system turn, where the conversation begins
 with one, and up to ``history`` turns from before its span, as many as fit.  The
 loss mask covers the text of assistant turns, each once: repeated turns are
@@ -18,7 +21,7 @@ Defined results
 ---------------
 * text or role null: as empty; a null conversation id is a conversation of its own;
 * turns are ordered by turn (null first), role, text; repeated rows are repeated turns;
-* a turn of over ``budget`` tokens: whole, in a window without other new turns;
+* very long texts, a turn of over ``budget`` tokens: whole, in a window without other new turns;
 * other columns are not read; an empty table gives an empty result.
 """
 
@@ -52,14 +55,18 @@ def windows(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: st
     part = F.struct("i", "tokens", "before", "role", "text")
     conv = base.groupBy("key").agg(F.array_sort(F.collect_list(part)).alias("t"))
     conv = conv.withColumn("first", F.expr("case when t[0].role = 'system' then 1 else 0 end")).withColumn("fixed", F.expr("case when first = 1 then cast(t[0].tokens as bigint) else 0L end"))
-    # How many turns of history fit before turn x: the most of 0 .. history.
+    # How many turns of history fit before turn i, if a window starts there: the most of 0 .. history.
     fit = "0"
     for k in range(1, history + 1):
         fit = f"case when x.i - {k} >= first and fixed + x.before - get(t, x.i - {k}).before + x.tokens <= {budget} then {k} else {fit} end"
-    started = f"struct(concat(a.spans, array(struct(x.i as s, {fit} as k))) as spans, fixed + x.before - coalesce(get(t, x.i - ({fit})).before, x.before) + x.tokens as used)"
-    conv = conv.withColumn("spans", F.expr(f"""aggregate(t, struct(cast(array() as array<struct<s: int, k: int>>) as spans, 0L as used),
-        (a, x) -> case when x.i = 0 then struct(array(struct(0 as s, 0 as k)) as spans, cast(x.tokens as bigint) as used)
-            when a.used + x.tokens <= {budget} then struct(a.spans as spans, a.used + x.tokens as used) else {started} end, a -> a.spans)"""))
+    conv = conv.withColumn("k", F.expr(f"transform(t, x -> case when x.i = 0 then 0 else {fit} end)"))
+    # Where the next window starts after one that starts at turn i: the first later turn that ends beyond its room, found by halving.
+    room = f"{budget} - case when x.i = 0 then 0L else fixed end + coalesce(get(t, x.i - k[x.i]).before, 0L)"
+    halve = f"aggregate(sequence(1, 1 + cast(ceil(log2(size(t) + 1)) as int)), struct(x.i + 1 as lo, size(t) as hi), (a, s) -> if(a.lo < a.hi, if(get(t, div(a.lo + a.hi)).before + get(t, div(a.lo + a.hi)).tokens <= {room}, struct(div(a.lo + a.hi) + 1 as lo, a.hi as hi), struct(a.lo as lo, div(a.lo + a.hi) as hi)), a), a -> a.lo)"
+    conv = conv.withColumn("next", F.expr(f"transform(t, x -> {halve})".replace("div(a.lo + a.hi)", "cast((a.lo + a.hi) div 2 as int)")))
+    # The starts reached from turn 0, in rounds that double the length of the jumps.
+    starts = "aggregate(sequence(1, 1 + cast(ceil(log2(size(t) + 1)) as int)), struct(array(0) as r, next as j), (a, s) -> struct(array_distinct(concat(a.r, filter(transform(a.r, i -> get(a.j, i)), i -> i < size(t)))) as r, transform(a.j, i -> coalesce(get(a.j, i), i)) as j), a -> array_sort(a.r))"
+    conv = conv.withColumn("starts", F.expr(starts)).withColumn("spans", F.expr("transform(starts, s -> struct(s as s, k[s] as k))"))
     conv = conv.withColumn("cut", F.expr("""transform(spans, (w, j) -> struct(j as window, w.s as s, case when w.s > 0 then first else 0 end + w.k as n_repeated,
         concat(case when w.s > 0 and first = 1 then slice(t, 1, 1) else slice(t, 1, 0) end, slice(t, w.s - w.k + 1, w.k), slice(t, w.s + 1, coalesce(get(spans, j + 1).s, size(t)) - w.s)) as parts))"""))
     cut = conv.select("key", F.explode("cut").alias("c")).select("key", "c.window", "c.s", "c.n_repeated", F.transform("c.parts", lambda p: F.struct(p["i"].alias("i"), p["role"].alias("role"), escape(p["role"]).alias("r"), escape(p["text"]).alias("x"))).alias("parts"))
