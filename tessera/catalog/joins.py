@@ -71,6 +71,21 @@ def _overlap(how):
     return run
 
 
+def _overlap_repeated(spark, sf_dir):
+    """Left rows that repeat, and ranges of very different lengths."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_type", micros("ts").alias("s"), (micros("ts") + F.when(c("event_id") % 50 == 0, 86_400_000_000).otherwise((c("value") * 1_000_000).cast("bigint"))).alias("e"))
+    left = e.where("event_type = 'click'").select("user_id", F.expr("s div 60000000000 * 60000000000").alias("s")).withColumn("e", c("s") + 60_000_000_000)
+    right = e.where("event_type = 'view'").select("user_id", c("s").alias("vs"), c("e").alias("ve"))
+    return J.overlap(left, right, "s", "e", "vs", "ve", ["user_id"], "left").groupBy("user_id", "s").agg(F.count(F.lit(1)).alias("n"), F.count("vs").alias("met"))
+
+
+def _interval_levels(spark, sf_dir):
+    """Points in ranges of lengths from zero to the whole table."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey")
+    bands = load(spark, sf_dir, "supplier").select("s_suppkey", (c("s_suppkey") * 7).alias("lo"), (c("s_suppkey") * 7 + F.pow(F.lit(3), c("s_suppkey") % 9).cast("bigint") - 1).alias("hi"))
+    return J.interval(o, bands, "o_orderkey", "lo", "hi", outer=True).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 _SPAN = "select event_id, user_id, event_type, epoch_us(ts) as s, epoch_us(ts) + cast(trunc(value * 100000000) as bigint) as e from events"
 
 
@@ -117,6 +132,8 @@ _CASES = {
     "interval_outer": (_interval(True), f"select p_partkey, p_retailprice, s_suppkey, lo, hi from part left join {_BANDS} on p_retailprice between lo and hi"),
     "overlap": (_overlap("inner"), f"with x as ({_SPAN}) select a.event_id, b.event_id as other from x a join x b on a.user_id = b.user_id and a.s < b.e and b.s < a.e where a.event_type = 'click' and b.event_type = 'view'"),
     "overlap_left": (_overlap("left"), f"with x as ({_SPAN}), a as (select * from x where event_type = 'click'), b as (select * from x where event_type = 'view') select a.event_id, b.event_id as other from a left join b on a.user_id = b.user_id and a.s < b.e and b.s < a.e"),
+    "overlap_repeated": (_overlap_repeated, "with x as (select user_id, event_type, epoch_us(ts) as s, epoch_us(ts) + case when event_id % 50 = 0 then 86400000000 else cast(trunc(value * 1000000) as bigint) end as e from events), a as (select user_id, s // 60000000000 * 60000000000 as s from x where event_type = 'click'), b as (select * from x where event_type = 'view') select a.user_id, a.s, count(*) as n, count(b.s) as met from a left join b on a.user_id = b.user_id and a.s < b.e and b.s < a.s + 60000000000 group by 1, 2"),
+    "interval_levels": (_interval_levels, "select s_suppkey, count(*) as n from orders left join (select s_suppkey, s_suppkey * 7 as lo, s_suppkey * 7 + cast(pow(3, s_suppkey % 9) as bigint) - 1 as hi from supplier) on o_orderkey between lo and hi group by 1"),
     "three_way": (_three_way, "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1"),
 }
 

@@ -2,12 +2,17 @@
 
 Equi-joins are left to Catalyst and adaptive execution.  As-of joins are one
 union and one window per direction, never a comparison of all pairs.  Interval
-and overlap joins bin both sides on a grid, so that they are equi-joins on the
-bin; each pair is produced in one bin only.
+and overlap joins are equi-joins on bins.  Every range has the level of its length,
+a power of 16, and lies in at most 17 bins of that level's grid, so that one long
+range among short ones costs no more than they do; a pair meets in one bin, on the
+grid of the longer one.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,59 +120,104 @@ def _number(c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def _bins(low: Column, high: Column, width: float) -> Column:
-    first, last = F.floor(low / width).cast("bigint"), F.floor(high / width).cast("bigint")
-    return F.when(last >= first, F.sequence(first, last))
+BASE = 16.0
+
+
+def _power(length: Column) -> Column:
+    return F.floor(F.log(BASE, F.when(length > 0, length))).cast("int")
+
+
+def _level(low: Column, high: Column, finest: int) -> Column:
+    """The power of ``BASE`` of a range's length, ``finest`` at least; ``finest`` too for an empty range or a null."""
+    return F.greatest(F.lit(finest), F.coalesce(_power(high - low), F.lit(finest)))
+
+
+def _levels(width: float | None, *sides: tuple[DataFrame, Column, Column]) -> tuple[int, list[int]]:
+    """The finest level, by ``width`` or the shortest range, and those in use: a few numbers, whatever the size of the tables.
+
+    The finest is not so fine that the number of a bin would overflow.
+    """
+    powers, largest = set(), 0.0
+    for df, low, high in sides:
+        row = df.select(_power(high - low).alias("power"), F.greatest(F.abs(low), F.abs(high)).alias("size")).agg(F.collect_set("power").alias("powers"), F.max("size").alias("size")).first()
+        powers |= set(row["powers"])
+        largest = max(largest, float(row["size"] or 0.0))
+    finest = math.floor(math.log(width, BASE)) if width else min(powers, default=0)
+    if largest > 0:
+        finest = max(finest, math.ceil(math.log(largest, BASE)) - 13)
+    return finest, sorted({max(finest, x) for x in powers} | {finest})
+
+
+def _bin_of(level: int) -> Callable[[Column], Column]:
+    return lambda at: F.struct(F.lit(level).alias("level"), at.alias("at"))
+
+
+def _bins(low: Column, high: Column, level: Column, levels: list[int], own: bool) -> Column:
+    """Bins (level, at) of a range: those of its own level (or ``own``: no other), and of all higher levels in use."""
+    parts = []
+    for x in levels:
+        width = BASE**x
+        first, last = F.floor(low / width).cast("bigint"), F.floor(high / width).cast("bigint")
+        hit = F.transform(F.sequence(first, last), _bin_of(x))
+        parts.append(F.when((last >= first) & ((level == x) if own else (level <= x)), hit))
+    none = F.expr("cast(array() as array<struct<level: int, at: bigint>>)")
+    return F.concat(none, *[F.coalesce(x, none) for x in parts])
+
+
+def _renamed(right: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    others = [c for c in right.columns if c not in by]
+    return right.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)]), others
 
 
 def interval(left: DataFrame, right: DataFrame, point: str, low: str, high: str, by: list[str] | None = None, outer: bool = False, width: float | None = None) -> DataFrame:
     """Left rows with every right row whose closed range holds the point; ``outer`` keeps the others.
 
-    ``width`` is the bin; by default the mean length of the ranges, so that a range
-    meets two bins on average.
+    Ranges shorter than ``width``, by default none, share the finest grid.
     """
     by = by or []
-    if width is None:
-        mean = right.select(F.avg(F.col(high).cast("double") - F.col(low).cast("double"))).first()[0]
-        width = float(mean) if mean and mean > 0 else 1.0
-    others = [c for c in right.columns if c not in by]
-    side = right.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)])
+    side, others = _renamed(right, by)
     lo, hi = F.col(f"_c{others.index(low)}"), F.col(f"_c{others.index(high)}")
-    side = side.withColumn("_bin", F.explode(_bins(lo.cast("double"), hi.cast("double"), width)))
-    rows = left.withColumn("_lbin", F.floor(F.col(point).cast("double") / width).cast("bigint"))
+    a, b, at = lo.cast("double"), hi.cast("double"), F.col(point).cast("double")
+    finest, levels = _levels(width, (side, a, b), (left, at, at))
+    side = side.withColumn("_bin", F.explode(_bins(a, b, _level(a, b, finest), levels, True)))
+    rows = left.withColumn("_lbin", F.explode(_bins(at, at, F.lit(finest), levels, False)))
     on = (F.col("_lbin") == F.col("_bin")) & (F.col(point) >= lo) & (F.col(point) <= hi)
-    for i, b in enumerate(by):
-        on = on & F.col(b).eqNullSafe(F.col(f"_by{i}"))
-    both = rows.join(side, on, "left" if outer else "inner")
-    return both.select(*left.columns, *[F.col(f"_c{i}").alias(c + "_right" if c in left.columns else c) for i, c in enumerate(others)])
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    columns = [F.col(f"_c{i}").alias(c + "_right" if c in left.columns else c) for i, c in enumerate(others)]
+    if outer:
+        rows = left.distinct().withColumn("_lbin", F.explode(_bins(at, at, F.lit(finest), levels, False)))
+        return _with_unmatched(left, rows.join(side, on), columns)
+    return rows.join(side, on).select(*left.columns, *columns)
+
+
+def _with_unmatched(left: DataFrame, pairs: DataFrame, columns: list[Column]) -> DataFrame:
+    """Every row of ``left`` with its pairs, or with nulls; ``pairs`` are of its distinct rows, so a repeated one has each pair as often as it occurs."""
+    found = pairs.select(F.struct(*left.columns).alias("_of"), *columns)
+    return left.withColumn("_row", F.struct(*left.columns)).join(found, F.col("_row").eqNullSafe(F.col("_of")), "left").select(*left.columns, *found.columns[1:])
 
 
 def overlap(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str, by: list[str] | None = None, how: str = "inner", width: float | None = None) -> DataFrame:
-    """Pairs of half-open ranges that intersect: ``a.start < b.end`` and ``b.start < a.end``.
+    """Pairs of half-open ranges that intersect: ``a.start < b.end`` and ``b.start < a.end``; ``how`` is inner or left.
 
-    Both sides are exploded over a grid; a pair counts in the bin where the later
-    of the two starts lies, so that it is produced once.
+    Both sides lie in the bins of their own level and of every higher one in use; a
+    pair counts on the higher of its two levels, in the bin where the later of the
+    two starts lies, so that it is produced once.
     """
     by = by or []
-    if width is None:
-        mean = right.select(F.avg(F.col(right_end).cast("double") - F.col(right_start).cast("double"))).first()[0]
-        width = float(mean) if mean and mean > 0 else 1.0
-    others = [c for c in right.columns if c not in by]
-    side = right.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)])
+    side, others = _renamed(right, by)
     s, e = F.col(f"_c{others.index(right_start)}"), F.col(f"_c{others.index(right_end)}")
-    side = side.withColumn("_bin", F.explode(_bins(s.cast("double"), e.cast("double"), width)))
-    rows = left.withColumn("_lbin", F.explode_outer(_bins(F.col(left_start).cast("double"), F.col(left_end).cast("double"), width)))
-    meet = (F.col(left_start) < e) & (s < F.col(left_end)) & (F.col("_lbin") == F.col("_bin")) & (F.floor(F.greatest(F.col(left_start), s).cast("double") / width) == F.col("_bin"))
-    for i, b in enumerate(by):
-        meet = meet & (F.col(b) == F.col(f"_by{i}"))
+    ls, le, rs, re = (c.cast("double") for c in (F.col(left_start), F.col(left_end), s, e))
+    finest, levels = _levels(width, (left, ls, le), (side, rs, re))
+    side = side.withColumn("_rlevel", _level(rs, re, finest)).withColumn("_bin", F.explode(_bins(rs, re, F.col("_rlevel"), levels, False)))
+    rows = (left.distinct() if how == "left" else left).withColumn("_llevel", _level(ls, le, finest)).withColumn("_lbin", F.explode(_bins(ls, le, F.col("_llevel"), levels, False)))
+    later = F.coalesce(*[F.when(F.col("_bin.level") == x, F.floor(F.greatest(ls, rs) / BASE**x)) for x in levels])
+    meet = (F.col("_lbin") == F.col("_bin")) & (F.col(left_start) < e) & (s < F.col(left_end)) & (F.col("_bin.level") == F.greatest("_llevel", "_rlevel")) & (later == F.col("_bin.at"))
+    for i, c in enumerate(by):
+        meet = meet & (F.col(c) == F.col(f"_by{i}"))
     columns = [F.col(f"_c{i}").alias(c + "_right" if c in left.columns else c) for i, c in enumerate(others)]
-    if how == "inner":
-        return rows.join(side, meet).select(*left.columns, *columns)
-    # A left row has several bins: it stays unmatched only if all of them are.
-    marked = left.withColumn("_row", F.struct(*left.columns))
-    pairs = rows.join(side, meet).select(F.struct(*left.columns).alias("_row2"), *[c for c in columns])
-    names = pairs.columns[1:]
-    return marked.join(pairs.withColumnRenamed("_row2", "_m"), F.col("_row").eqNullSafe(F.col("_m")), "left").select(*left.columns, *names)
+    pairs = rows.join(side, meet)
+    return _with_unmatched(left, pairs, columns) if how == "left" else pairs.select(*left.columns, *columns)
 
 
 def compare(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

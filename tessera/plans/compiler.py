@@ -877,11 +877,15 @@ class Compiler:
         else:
             r = self.c.roles
             sided = right.withColumnsRenamed(dict(zip(right_on, left_on, strict=True))).withColumnsRenamed({r.time: "_rs"}).withColumn("_re", F.col("_rs") + F.col(r.duration)).drop(r.duration)
-            out = joins.overlap(df.withColumn("_le", F.col(r.time) + F.col(r.duration)), sided, r.time, "_le", "_rs", "_re", left_on, "left").drop("_le", "_rs", "_re")
+            whole = df.distinct() if "into" in options else df
+            out = joins.overlap(whole.withColumn("_le", F.col(r.time) + F.col(r.duration)), sided, r.time, "_le", "_rs", "_re", left_on, "left").drop("_le", "_rs", "_re")
         if "into" in options:
             added = [c for c in out.columns if c not in df.columns]
             if kind == "overlap":
                 out = out.groupBy(*df.columns).agg(F.collect_list(F.when(F.col(added[0]).isNotNull(), F.struct(*added))).alias(options["into"]))
+                # Repeated rows each have the list.
+                lists = out.select(F.struct(*df.columns).alias("_of"), options["into"])
+                out = df.withColumn("_row", F.struct(*df.columns)).join(lists, F.col("_row").eqNullSafe(F.col("_of")), "left").select(*df.columns, options["into"])
             else:
                 out = out.select(*df.columns, F.struct(*added).alias(options["into"]))
         return state.but(df=out)

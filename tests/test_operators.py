@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import collections
 import math
 import random
 
@@ -212,3 +213,22 @@ def test_whole_frames(spark):
     assert values(P.hstack(f, other).df.orderBy("i"), "i", "v_right") == [(1, 11), (2, None), (3, 5)]
     assert values(P.str_get_dummies(f, "k").df.orderBy("i"), "a", "b") == [(1, 1), (0, 0), (0, 1)]
     assert values(P.transpose(f.select("i", "v"), "i").df, "1", "2", "3") == [(10, 20, None)]
+
+
+def test_overlap_of_repeated_rows_and_mixed_lengths(spark):
+    r = random.Random(5)
+    span = lambda: (s := r.randint(0, 3000), s + r.choice([0, 1, 5, 40, 300, 2900]))
+    a = [(1, *span()) for _ in range(40)] * 3 + [(2, None, None)] * 2 + [(3, 1, 9)] * 2
+    b = [(1, *span()) for _ in range(50)] + [(2, 0, 10)]
+    left, right = spark.createDataFrame(a, "k int, s long, e long"), spark.createDataFrame(b, "k int, bs long, be long")
+    for how in ("inner", "left"):
+        got = [(x["k"], x["s"], x["e"], x["bs"], x["be"]) for x in joins.overlap(left, right, "s", "e", "bs", "be", ["k"], how).collect()]
+        want = []
+        for k, s, e in a:
+            met = [(k, s, e, y, z) for j, y, z in b if j == k and s is not None and s < z and y < e]
+            want += met or ([(k, s, e, None, None)] if how == "left" else [])
+        assert collections.Counter(got) == collections.Counter(want)
+    points = spark.createDataFrame([(x,) for x in [0, 5, 5, 1500, 9999, None]], "p long")
+    got = [(x["p"], x["bs"], x["be"]) for x in joins.interval(points, right.drop("k"), "p", "bs", "be", outer=True).collect()]
+    want = [t for p in [0, 5, 5, 1500, 9999, None] for t in ([(p, y, z) for _, y, z in b if p is not None and y <= p <= z] or [(p, None, None)])]
+    assert collections.Counter(got) == collections.Counter(want)
