@@ -137,6 +137,12 @@ def test_filter_never_forgets_and_is_bounded():
     assert (lm.probe(few, bits, key, 4) >= want).all() and 0 < (lm.probe(few, bits, other, 4) > 0).mean() < 0.1
 
 
+def test_packed_keys_come_back():
+    r = np.random.default_rng(2)
+    for keys in (np.zeros(0, np.uint64), np.unique(r.integers(0, 1 << 64, 1000, dtype=np.uint64)), np.array([0, (1 << 64) - 1], np.uint64)):
+        assert lm._unpack(lm._pack(keys)).tolist() == keys.tolist()
+
+
 def brute_scores(rows, train):
     """Scores of the model with exact pair levels, one text after another."""
     own = [tokens(t) for _, t in train]
@@ -270,7 +276,7 @@ def test_long_words_are_summed_whole():
 
 def test_ftrl_against_the_plain_recursion():
     r = np.random.default_rng(4)
-    dims, alpha, beta, l1 = 16, 0.5, 1.0, 0.6
+    dims, alpha, beta, l1 = 16, 0.5, 1.0, 2.5
     rows = [np.unique(r.integers(0, dims, 5)).astype(np.uint32) for _ in range(60)]
     labels = np.array([float(3 in x) for x in rows])
     z, n = [0.0] * (dims + 1), [0.0] * (dims + 1)
