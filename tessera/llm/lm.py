@@ -18,7 +18,7 @@ Neither the filter nor the exact token counts fit on a worker.  Texts are dealt
 out in chunks of bounded size; each chunk asks for the counts of its distinct
 tokens and the levels of its distinct pairs, the request meets the counts or the
 slice bucket by bucket, and the answer returns to the chunk.  Counts, requests
-and answers travel as packed arrays, one row for each kind, chunk and bucket,
+and answers travel as packed arrays (sorted keys as differences), one row for each kind, chunk and bucket,
 pre-aggregated before every shuffle.  Rows that are repeated so often that they
 would overfill a chunk (equal id and text, or both null) are scored once and
 returned as often as they occur.
@@ -115,6 +115,16 @@ def pairs(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return words.mix64(words.mix64(before) * np.uint64(3) + hashes)
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte plane by byte plane: the upper planes are zeros, which a compressed shuffle drops."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _pack_counts(counts: np.ndarray) -> bytes:
     """A byte for each small count; 255 there, and eight bytes at the end, for a larger one."""
     large = counts >= 255
@@ -150,13 +160,13 @@ def count_table(training: DataFrame, text: str, bits: int, probes: int) -> DataF
                 for bucket, s, e in _runs(keys, bits):
                     rows["kind"].append(kind)
                     rows["bucket"].append(bucket)
-                    rows["keys"].append(keys[s:e].tobytes())
+                    rows["keys"].append(_pack(keys[s:e]))
                     rows["counts"].append(_pack_counts(n[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array(rows["kind"], pa.int32()), pa.array(rows["bucket"], pa.int32()), pa.array(rows["keys"], pa.binary()), pa.array(rows["counts"], pa.binary())], ["kind", "bucket", "keys", "counts"])
 
     def merge(group: pa.Table) -> pa.Table:
         kind = group["kind"][0].as_py()
-        keys = [np.frombuffer(x, np.uint64) for x in group["keys"].to_pylist()]
+        keys = [_unpack(x) for x in group["keys"].to_pylist()]
         counts = [_unpack_counts(x, len(k)) for x, k in zip(group["counts"].to_pylist(), keys, strict=True)]
         key, count = np.concatenate(keys), np.concatenate(counts)
         del keys, counts
@@ -168,7 +178,7 @@ def count_table(training: DataFrame, text: str, bits: int, probes: int) -> DataF
             held, size = filter_slice(key, count, probes)
             packed = b""
         else:
-            held, size, packed = key.tobytes(), 0, _pack_counts(count)
+            held, size, packed = _pack(key), 0, _pack_counts(count)
         return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": group["bucket"].slice(0, 1), "keys": pa.array([held], pa.binary()), "counts": pa.array([packed], pa.binary()), "size": [size], "total": [int(count.sum())], "types": [len(key)]})
 
     return training.select(F.col(text).alias("text")).mapInArrow(count, _COUNTS).groupBy("kind", "bucket").applyInArrow(merge, _MERGED)
@@ -207,7 +217,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
             for bucket, s, e in _runs(own, bits):
                 rows["kind"].append(kind)
                 rows["bucket"].append(bucket)
-                rows["keys"].append(own[s:e].tobytes())
+                rows["keys"].append(_pack(own[s:e]))
         return pa.table({"chunk": pa.array([group["chunk"][0].as_py()] * len(rows["kind"]), pa.int64()), "kind": pa.array(rows["kind"], pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "keys": pa.array(rows["keys"], pa.binary())})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -217,10 +227,10 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
         pair = asked["kind"][0].as_py() == 1
         held = known["keys"][0].as_py() if known.num_rows else b""
         if not pair:
-            key = np.frombuffer(held, np.uint64)
+            key = _unpack(held)
             count = _unpack_counts(known["counts"][0].as_py(), len(key)) if len(key) else np.zeros(0, np.int64)
         for raw in asked["keys"].to_pylist():
-            own = np.frombuffer(raw, np.uint64)
+            own = _unpack(raw)
             if not held:
                 found = np.zeros(len(own), np.int64)
             elif pair:
