@@ -75,8 +75,8 @@ _CASES = {
     "head_by": (lambda s, d: orders(s, d).head_by(["o_custkey"], 2).df, "select * from orders qualify row_number() over (partition by o_custkey order by o_orderkey) <= 2"),
     "topk": (lambda s, d: orders(s, d).topk("o_totalprice", 10).df, "select * from orders order by o_totalprice desc, o_orderkey limit 10"),
     "topk_smallest": (lambda s, d: orders(s, d).topk("o_totalprice", 10, False).df, "select * from orders order by o_totalprice, o_orderkey limit 10"),
-    "sort_by": (lambda s, d: Frame(customers(s, d).sort_by("c_mktsegment").df.limit(30)).df, f"select * from {_CUST} order by c_mktsegment nulls last, c_custkey limit 30"),
-    "sort_by_multi": (lambda s, d: Frame(customers(s, d).sort_by(["c_mktsegment", "c_nationkey"], [True, False]).df.limit(30)).df, f"select * from {_CUST} order by c_mktsegment desc nulls last, c_nationkey, c_custkey limit 30"),
+    "sort_by": (lambda s, d: customers(s, d).sort_by("c_mktsegment").df, f"select * from {_CUST} order by c_mktsegment nulls last, c_custkey"),
+    "sort_by_multi": (lambda s, d: customers(s, d).sort_by(["c_mktsegment", "c_nationkey"], [True, False]).df, f"select * from {_CUST} order by c_mktsegment desc nulls last, c_nationkey, c_custkey"),
     "null_count": (lambda s, d: customers(s, d).null_count().df, f"select count_if(c_custkey is null)::bigint as c_custkey, count_if(c_name is null)::bigint as c_name, count_if(c_nationkey is null)::bigint as c_nationkey, count_if(c_acctbal is null)::bigint as c_acctbal, count_if(c_mktsegment is null)::bigint as c_mktsegment from {_CUST}"),
     "value_counts": (lambda s, d: customers(s, d).value_counts("c_mktsegment").df, f"select c_mktsegment as value, count(*) as count from {_CUST} where c_mktsegment is not null group by 1"),
     "describe": (_describe, " union all ".join(f"select '{n}' as statistic, round({f.format('o_custkey')}::double, 3) as o_custkey, round({f.format('o_totalprice')}::double, 3) as o_totalprice from orders" for n, f in (("count", "count({})"), ("null_count", "count_if({} is null)"), ("mean", "avg({})"), ("std", "stddev_samp({})"), ("min", "min({})"), ("max", "max({})")))),

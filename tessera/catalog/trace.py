@@ -67,6 +67,10 @@ def _sessions(**options):
 _GAP = 7_200_000_000
 _SESSION = "select event_id, sum(n) over (partition by user_id order by t, event_id rows unbounded preceding)::bigint as session from (select *, case when m is null or t > m + {gap} then 1 else 0 end as n from (select *, max(t + {d}) over (partition by user_id order by t, event_id rows between unbounded preceding and 1 preceding) as m from {x}))"
 
+_LONGEST = 14_400_000_000
+#: One row after the other, with the start and number of the session it falls in.
+_SESSION_MAX = "with recursive r as (select *, row_number() over (partition by user_id order by t, event_id) as i from {x}), s as (select event_id, user_id, i, t, t as first, 1::bigint as session from r where i = 1 union all select r.event_id, r.user_id, r.i, r.t, case when r.t > s.t + {gap} or r.t > s.first + {longest} then r.t else s.first end, s.session + (r.t > s.t + {gap} or r.t > s.first + {longest})::bigint from s join r on r.user_id = s.user_id and r.i = s.i + 1) select event_id, session from s"
+
 
 def _gap_fill(mode):
     def run(spark, sf_dir):
@@ -112,7 +116,7 @@ _CASES = {
     "flamegraph": (_flame, f"with {_NESTED}, j as (select o_orderstatus as s, k, n from i join orders on o_orderkey = k) select o_orderstatus as path, o_orderstatus as name, 0 as level, count(*) as count, (count(*) * 1000)::bigint as total, (count(*) * 1000 - coalesce((select count(*) * 60 from j where s = o_orderstatus), 0))::bigint as self from orders group by o_orderstatus union all select s || ';L' || n, 'L' || n, 1, count(*), (count(*) * 60)::bigint, (count(*) * 60)::bigint from j group by s, n"),
     "sessions": (_sessions(), _SESSION.format(gap=_GAP, d=0, x=_X)),
     "sessions_with_duration": (_sessions(duration="d"), _SESSION.format(gap=_GAP, d="d", x=_X)),
-    "sessions_max": (_sessions(longest=14_400_000_000), None),
+    "sessions_max": (_sessions(longest=_LONGEST), _SESSION_MAX.format(gap=_GAP, longest=_LONGEST, x=_X)),
     "gap_fill": (_gap_fill("none"), f"{_GRID} select event_type, b as t, value from j"),
     "gap_fill_locf": (_gap_fill("locf"), f"{_GRID} select event_type, b as t, last_value(value ignore nulls) over ({_W} unbounded preceding) as value from j"),
     "gap_fill_linear": (_gap_fill("linear"), f"{_GRID}, k as (select *, last_value(case when value is not null then b end ignore nulls) over ({_W} unbounded preceding) as a, first_value(case when value is not null then b end ignore nulls) over ({_W} between current row and unbounded following) as z, last_value(value ignore nulls) over ({_W} unbounded preceding) as x, first_value(value ignore nulls) over ({_W} between current row and unbounded following) as y from j) select event_type, b as t, coalesce(value, x + (y - x) * (b - a)::double / (z - a)) as value from k"),

@@ -47,17 +47,39 @@ def test_text_functions_in_batches(spark):
     assert "00ne" in got[0][2] and tuple(got[1]) == (None, None, None)
 
 
-def test_row_index_and_running_total(spark):
+@pytest.mark.parametrize("small", [ordering.SMALL, 20])
+def test_row_index_and_running_total(spark, small):
     rows = [(i, random.Random(i).randrange(50), None if i % 7 == 0 else i) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, k long, v long").repartition(5)
-    got = {r["id"]: r["index"] for r in ordering.with_row_index(df, ["k", "id"]).collect()}
+    got = {r["id"]: r["index"] for r in ordering.with_row_index(df, ["k", "id"], small=small).collect()}
     want = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
     assert got == want
     total, sums = 0, {}
     for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
         total += v or 0
         sums[i] = None if v is None else total
-    assert {r["id"]: r["running"] for r in ordering.running_total(df, ["k", "id"], "v").collect()} == sums
+    assert {r["id"]: r["running"] for r in ordering.running_total(df, ["k", "id"], "v", small=small).collect()} == sums
+
+
+def test_ranges_of_all_keys(spark):
+    """A constant first key, nulls and texts with a common beginning do not end up in one range."""
+    df = spark.range(4000).selectExpr("1 as a", "if(id % 10 = 0, null, concat('common/prefix/', lpad(id, 6, '0'))) as b", "id", "timestamp_micros(id) as t").repartition(4)
+    order = ["a", "b", "t"]
+    cut = ordering.ranged(df, order, 4000, 200)
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 800
+    want = sorted(range(4000), key=lambda i: (i % 10 == 0, i))
+    found = ordering.with_row_index(df, order, small=200).select("index", "id").collect()
+    assert {r["index"]: r["id"] for r in found} == dict(enumerate(want))
+    assert ordering.with_row_index(df.limit(0), order, small=-1).count() == 0
+
+
+def test_sort_by(spark):
+    rows = [(i, random.Random(i).choice([None, "x", "y", "z"]), random.Random(-i).randrange(5)) for i in range(300)]
+    f = Frame(spark.createDataFrame(rows, "id long, k string, v long").repartition(7), ["id"])
+    got = [r["id"] for r in f.sort_by(["k", "v"], [True, False]).df.collect()]
+    rank = {"z": 0, "y": 1, "x": 2, None: 3}
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (rank[r[1]], r[2], r[0]))]
 
 
 def test_asof_rules(spark):
