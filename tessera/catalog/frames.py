@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import table as T
 from tessera.frame import Frame
 from tessera.functions.scalar import micros
 from tessera.operators.joins import compare
@@ -102,6 +103,19 @@ _CASES = {
     "corr_matrix": (_corr, " union all ".join(f"select '{x}' as column, {_PAIR.format(x)}" for x in ("l_quantity", "l_extendedprice", "l_discount"))),
     "group_by_dynamic": (lambda s, d: _days(s, d).group_by_dynamic("day", 30, 30, {"n": ("count", None), "top": ("max", "o_totalprice")}).df, f"select d - d % 30 as bucket, count(*) as n, max(o_totalprice) as top from (select *, {_DAY} as d from orders) group by 1"),
     "group_by_hopping": (lambda s, d: _days(s, d).group_by_dynamic("day", 10, 30, {"n": ("count", None)}).df, f"select b as bucket, count(*) as n from (select *, {_DAY} as d from orders), unnest([d - d % 10, d - d % 10 - 10, d - d % 10 - 20]) t(b) where d >= b and d < b + 30 group by 1"),
+    "set_axis": (lambda s, d: T.set_axis(Frame(load(s, d, "nation"), ["n_nationkey"]), ["a", "b", "c"]).df, "select n_nationkey as a, n_name as b, n_regionkey as c from nation"),
+    "rename_axis": (lambda s, d: T.rename_axis(orders(s, d), "k").select("k", "o_custkey").df, "select o_orderkey as k, o_custkey from orders"),
+    "insert": (lambda s, d: T.insert(orders(s, d).select("o_orderkey"), 0, "twice", c("o_orderkey") * 2).df, "select o_orderkey * 2 as twice, o_orderkey from orders"),
+    "pop": (lambda s, d: T.pop(orders(s, d), "o_custkey")[0].df, "select o_orderkey, o_custkey from orders"),
+    "get_column": (lambda s, d: T.get_column(customers(s, d), "c_mktsegment").df, f"select c_mktsegment from {_CUST}"),
+    "xs": (lambda s, d: T.xs(customers(s, d), 3, "c_nationkey").df, f"select * exclude (c_nationkey) from {_CUST} where c_nationkey = 3"),
+    "sort_index": (lambda s, d: T.sort_index(orders(s, d), False).df, "select * from orders order by o_orderkey desc"),
+    "applymap": (lambda s, d: T.applymap(customers(s, d).select("c_custkey", "c_nationkey", "c_acctbal"), lambda x: F.round(x * 2, 2)).df, "select c_custkey, c_nationkey * 2 as c_nationkey, round(c_acctbal * 2, 2) as c_acctbal from customer"),
+    "combine": (lambda s, d: T.combine(orders(s, d).select("o_orderkey", "o_custkey"), orders(s, d).filter(c("o_custkey") > 50).select("o_orderkey", "o_custkey"), lambda a, b: F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0))).df, "with a as (select *, row_number() over (order by o_orderkey) as r from orders), b as (select *, row_number() over (order by o_orderkey) as r from orders where o_custkey > 50) select a.r - 1 as _row, a.o_orderkey - coalesce(b.o_orderkey, 0) as o_orderkey, a.o_custkey - coalesce(b.o_custkey, 0) as o_custkey from a left join b using (r)"),
+    "argsort": (lambda s, d: T.argsort(customers(s, d), "c_mktsegment").df, f"select row_number() over (order by c_mktsegment nulls last, p) - 1 as _at, p as position from (select c_mktsegment, row_number() over (order by c_custkey) - 1 as p from {_CUST})"),
+    "groups": (lambda s, d: T.groups(customers(s, d), ["c_mktsegment"]).df, f"select c_mktsegment, row_number() over (order by c_custkey) - 1 as positions from {_CUST}"),
+    "partition_by": (lambda s, d: T.partition_by(customers(s, d), "c_mktsegment")[1].df, f"select * from {_CUST} where c_mktsegment = (select distinct c_mktsegment from {_CUST} order by 1 nulls last limit 1 offset 1)"),
+    "info": (lambda s, d: T.info(customers(s, d).select("c_custkey", "c_mktsegment")).select("column", "non_null").df, f"select 'c_custkey' as column, count(*) as non_null from customer union all select 'c_mktsegment', count(c_mktsegment) from {_CUST}"),
     "sample": (lambda s, d: orders(s, d).sample(100, 7).df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("k")), "select 100::bigint as n, 100::bigint as k"),
     "partition_id": (lambda s, d: orders(s, d).partition_id(["o_custkey"], 16).df.groupBy("o_custkey").agg(F.count_distinct("partition_id").alias("n")), "select o_custkey, 1::bigint as n from orders group by 1"),
 }

@@ -1,7 +1,6 @@
 """Fits of distributions to a column, by group, from moments that one aggregation gives.
 
-Normal, lognormal, exponential and gamma parameters come from sums; the best is
-the one with the smallest Kolmogorov-Smirnov distance over a quantile sketch, so
+Normal, lognormal and exponential parameters come from sums; the best is the one with the smallest Kolmogorov-Smirnov distance over a quantile sketch, so
 that no group is ever gathered.
 """
 

@@ -19,13 +19,13 @@ _STR: dict[str, Callable[..., Column]] = {
     "capitalize": S.capitalize, "title": S.title, "swapcase": S.swapcase, "casefold": F.lower, "removeprefix": S.remove_prefix, "removesuffix": S.remove_suffix, "repeat": F.repeat, "cat": lambda c, *xs, sep="": F.concat(c, *[y for x in xs for y in (F.lit(sep), x)]),
     "normalize": S.normalize, "translate": S.translate, "wrap": S.wrap, "partition": S.partition, "rpartition": lambda c, sep: S.partition(c, sep, True), "get": lambda c, i: F.when((i < F.char_length(c)), F.substr(c, F.lit(i + 1), F.lit(1))),
     "slice_replace": lambda c, start, stop, new: F.concat(F.substr(c, F.lit(1), F.lit(start)), F.lit(new), F.substr(c, F.lit(stop + 1))), "encode": lambda c, charset="UTF-8": F.encode(c, charset), "decode": lambda c, charset="UTF-8": F.decode(c, charset),
-    "index": lambda c, x: F.when(F.instr(c, x) > 0, F.instr(c, x) - 1).otherwise(F.raise_error(F.lit("substring not found")).cast("int")), "extractall": lambda c, p, group=1: F.regexp_extract_all(c, F.lit(p), F.lit(group)),
+    "index": lambda c, x: F.when(F.instr(c, x) > 0, F.instr(c, x) - 1).otherwise(F.raise_error(F.lit("substring not found")).cast("int")), "rindex": lambda c, x: F.when(F.instr(c, x) > 0, S.rfind(c, x)).otherwise(F.raise_error(F.lit("substring not found")).cast("int")), "extractall": lambda c, p, group=1: F.regexp_extract_all(c, F.lit(p), F.lit(group)),
     **{f"is{k}": (lambda k: lambda c: S.is_class(c, k))(k) for k in S._CLASSES},
 }
 _DT: dict[str, Callable[..., Column]] = {
     "strftime": S.format_time, **{p: (lambda p: lambda c: S.date_part(p, c))(p) for p in S._PARTS}, "nanosecond": lambda c: F.lit(0), "isocalendar": lambda c: F.struct(S.date_part("isoyear", c).alias("year"), F.weekofyear(c).alias("week"), (F.weekday(c) + 1).alias("day")),
     "floor": lambda c, unit: S.from_micros(S.round_time(S.micros(c), unit)), "ceil": lambda c, unit: S.from_micros(S.round_time(S.micros(c), unit, "ceil")), "round": lambda c, unit: S.from_micros(S.round_time(S.micros(c), unit, "round")),
-    "normalize": lambda c: F.date_trunc("day", c), "total_seconds": lambda c: c.cast("double") / 1e6, "tz_convert": lambda c, tz: F.from_utc_timestamp(c, tz), "tz_localize": lambda c, tz: F.to_utc_timestamp(c, tz),
+    "normalize": lambda c: F.date_trunc("day", c), "total_seconds": lambda c: c.cast("double") / 1e6, "tz": lambda c: F.current_timezone(), "tz_convert": lambda c, tz: F.from_utc_timestamp(c, tz), "tz_localize": lambda c, tz: F.to_utc_timestamp(c, tz),
 }
 _LIST: dict[str, Callable[..., Column]] = {"len": F.size, "get": S.list_get, "first": lambda c: S.list_get(c, 0), "last": lambda c: S.list_get(c, -1), "join": F.array_join, "sort": F.array_sort, "unique": F.array_distinct, "sum": S.list_sum, "slice": S.list_slice, "contains": F.array_contains}
 

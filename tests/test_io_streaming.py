@@ -69,6 +69,31 @@ def test_provider(spark):
     assert df.agg(F.sum("square")).first()[0] == sum(i * i for i in range(20))
 
 
+def test_provider_filters(spark):
+    class Squares:
+        pushdown = True
+
+        def schema(self):
+            return "n long, square long"
+
+        def parts(self):
+            return [0, 10]
+
+        def scan(self, columns, part, filters):
+            import pyarrow as pa
+
+            low = max([v for op, c, v in filters if (op, c) == (">=", "n")], default=0)
+            keep = [i for i in range(part, part + 10) if i >= low]
+            # What is not asked for shows that the hint arrived.
+            t = pa.table({"n": keep, "square": [i * i if low else -1 for i in keep]}).select(columns)
+            yield from t.to_batches()
+
+    register(spark, "squares", Squares())
+    df = spark.read.format("squares").load()
+    assert {r["square"] for r in df.collect()} == {-1}
+    assert sorted(r["square"] for r in df.where("n >= 8 and n % 2 = 0").collect()) == [i * i for i in range(8, 20, 2)]
+
+
 def test_materialized(spark, tmp_path, sf_dir):
     store = io.Materialized(spark, str(tmp_path / "mv"))
     make = lambda: spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
