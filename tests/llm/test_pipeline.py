@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import collections
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import pieces, queries, secrets, spm
 
-from .conftest import prose
+from .conftest import ODD, prose
 from .test_text import contaminated, groups
 
 
@@ -55,6 +58,23 @@ def test_empty_input(spark, folder):
         assert stage(spark, docs, at).count() == 0
 
 
+def test_odd_rows(spark, folder, odd):
+    """Nulls in every column, blank and very long texts, repeated rows and clashing further columns, stage by stage."""
+    at, _, _ = folder
+    count = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    whole = collections.Counter(ODD)
+    stage = dict(corpus_pipeline.STAGES)
+    assert not count(stage["language"](spark, odd, at))  # nothing to learn from
+    labelled = odd.withColumn("lang", F.lit("aa"))
+    assert count(stage["language"](spark, labelled, at)) == collections.Counter({r: n for r, n in whole.items() if r[1] and r[1].strip()})
+    assert count(stage["near_dedup"](spark, odd, at)) == collections.Counter({r: 1 for r in whole if r[0] != 7})
+    assert count(stage["decontaminate"](spark, odd, at)) == whole
+    assert count(stage["secrets"](spark, odd, at)) == whole
+    encoded = stage["sentencepiece"](spark, odd, at)
+    assert count(encoded) == whole
+    assert {r["doc_id"] for r in encoded.where("ids is null or score is null").collect()} == {1}
+
+
 def test_contract_columns(spark, sf_dir):
     want = {
         "op1_language_id": ["doc_id", "held_out", "lang_pred", "score"], "op2_toxicity": ["doc_id", "held_out", "score", "predicted"],
