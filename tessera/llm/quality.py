@@ -19,6 +19,7 @@ Defined results
 * a stratum with too few labelled documents, or none: no cutoff, the base rules alone;
 * null stratum: a stratum of its own; null label or id: not used for certification;
 * repeated rows: each is measured; equal labelled rows count once;
+* very long texts: measured whole; an empty document table gives an empty result;
 * an empty label table: the base rules alone; other columns are not read.
 """
 

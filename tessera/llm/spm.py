@@ -28,7 +28,7 @@ Defined results
 * fewer than ``n`` segmentations: as many as there are;
 * ties: the segmentation whose last differing piece is the shorter comes first,
   the same on every machine;
-* a unit of any length is segmented whole;
+* a unit of any length is segmented whole; an empty table gives an empty result;
 * repeated rows: each is encoded, with the same result;
 * other columns pass through untouched, except ones named like the outputs,
   which are replaced.
