@@ -143,8 +143,8 @@ TRANSFORMS: dict[str, Callable[..., Column]] = {
     "rolling_median": _rolling(lambda v: F.percentile(v, 0.5)),
     "rolling_quantile": lambda keys, v, pos, n, q, **_: _rolling(lambda x: F.percentile(x, q))(keys, v, pos, n),
     "interpolate": lambda keys, v, pos, **_: _interpolate(keys, v, pos),
-    "ewm_mean": lambda keys, v, pos, alpha, **_: _ewm(keys, v, pos, alpha, False),
-    "ewm_std": lambda keys, v, pos, alpha, **_: _ewm(keys, v, pos, alpha, True),
+    "ewm_mean": lambda keys, v, pos, **by: _ewm(keys, v, pos, decay(**by), False),
+    "ewm_std": lambda keys, v, pos, **by: _ewm(keys, v, pos, decay(**by), True),
 }
 
 
@@ -158,6 +158,19 @@ def _interpolate(keys: list, v: Column, pos: Column) -> Column:
     return F.coalesce(v.cast("double"), x + (y - x) * (at - a) / (b - a))
 
 
+def decay(alpha: float | None = None, span: float | None = None, com: float | None = None, halflife: float | None = None) -> float:
+    """The weight of the newest value, given as itself, a span, a centre of mass or a half-life; exactly one of them."""
+    given = {"alpha": alpha, "span": span, "com": com, "halflife": halflife}
+    given = {k: x for k, x in given.items() if x is not None}
+    if len(given) != 1:
+        raise ValueError("give exactly one of alpha, span, com, halflife")
+    (kind, x), = given.items()
+    out = {"alpha": lambda: x, "span": lambda: 2.0 / (x + 1.0), "com": lambda: 1.0 / (1.0 + x), "halflife": lambda: 1.0 - 0.5 ** (1.0 / x)}[kind]()
+    if not 0.0 < out <= 1.0:
+        raise ValueError(f"{kind} = {x} is out of range")
+    return out
+
+
 def _ewm(keys: list, v: Column, pos: Column, alpha: float, spread: bool) -> Column:
     """Exponentially weighted with adjusted weights: a fold over the values so far, in order."""
     values = F.collect_list(v.cast("double")).over(running(Window.partitionBy(*keys).orderBy(pos)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.frame import Frame
 from tessera.functions.scalar import SCALARS as S
+from tessera.functions.windows import decay
 from tessera.operators import joins, occupancy, ordering, sketches, timeseries
 from tessera.udf import fold
 
@@ -254,3 +255,13 @@ def test_overlap_of_repeated_rows_and_mixed_lengths(spark):
     got = [(x["p"], x["bs"], x["be"]) for x in joins.interval(points, right.drop("k"), "p", "bs", "be", outer=True).collect()]
     want = [t for p in [0, 5, 5, 1500, 9999, None] for t in ([(p, y, z) for _, y, z in b if p is not None and y <= p <= z] or [(p, None, None)])]
     assert collections.Counter(got) == collections.Counter(want)
+
+
+def test_ewm_weights(spark):
+    assert [decay(alpha=0.5), decay(span=3), decay(com=1), decay(halflife=1)] == [0.5] * 4
+    for wrong in ({}, {"alpha": 0.5, "span": 3}, {"alpha": 1.5}, {"com": -0.5}):
+        with pytest.raises(ValueError):
+            decay(**wrong)
+    f = Frame(spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "a", None), (4, "a", 4.0)], "i long, k string, v double"), ["i"])
+    by = [[round(r["x"], 9) for r in f.group_transform(["k"], "ewm_mean", "v", "x", **o).df.orderBy("i").collect()] for o in ({"alpha": 0.5}, {"span": 3}, {"halflife": 1})]
+    assert by[0] == by[1] == by[2] == [1.0, round(2.5 / 1.5, 9), round(2.5 / 1.5, 9), round(5.25 / 1.75, 9)]
