@@ -31,6 +31,34 @@ def _k(rows: Column, k: int) -> Column:
     return F.transform(F.slice(rows, 1, k), lambda x: x["v"])
 
 
+#: Powers of two at which ``exact_mean`` cuts doubles; pieces have 31 bits, so that longs hold the sums of 2^31 rows.
+PLACES = (31, 0, -31, -62, -93)
+
+
+def exact_mean(value: Column) -> Column:
+    """The mean of doubles from exact sums: the same in whatever order rows and partial sums meet.
+
+    Each value is cut into pieces at fixed places, the pieces are summed as longs and the
+    sums divided place by place.  A group with a value of 2^62 or more, finer than 2^-93 or
+    not finite has the plain mean.
+    """
+    v = value.cast("double")
+    rest, pieces = F.abs(v), []
+    for p in PLACES:
+        piece = F.floor(rest * 2.0**-p)
+        rest = rest - piece * 2.0**p
+        pieces.append(F.when(v < 0, -piece).otherwise(piece))
+    n, carry, digits = F.nullif(F.count(v), F.lit(0)), F.lit(0).cast("bigint"), []
+    for piece in pieces:
+        total = F.try_add(F.try_sum(piece), F.try_multiply(carry, F.lit(1 << 31)))
+        carry = total % n
+        digits.append(F.call_function("div", total - carry, n))
+    exact = F.bool_and((F.abs(v) < 2.0**62) & (rest == 0)) & (n < 1 << 31)
+    high = digits[0] * 2.0**31 + digits[1] + digits[2] * 2.0**-31
+    low = digits[3] * 2.0**-62 + (digits[4] + carry / n) * 2.0**-93
+    return F.when(exact, high + low).otherwise(F.avg(v))
+
+
 AGGREGATES: dict[str, Agg] = {
     "count": lambda v=None, **_: F.count(F.lit(1)),
     "count_valid": lambda v, **_: F.count(v),
@@ -39,6 +67,7 @@ AGGREGATES: dict[str, Agg] = {
     "min": lambda v, **_: F.min(v),
     "max": lambda v, **_: F.max(v),
     "mean": lambda v, **_: F.avg(v),
+    "exact_mean": lambda v, **_: exact_mean(v),
     "var": lambda v, **_: F.var_samp(v),
     "std": lambda v, **_: F.stddev_samp(v),
     "skew": lambda v, **_: _guard(F.skewness(v), v),

@@ -639,6 +639,8 @@ class Compiler:
                     return aggregate(name, col, by=self.value(df, args[1]).col, pos=one)
                 if name == "histogram":
                     return F.histogram_numeric(col, F.lit(64))
+                if name == "mean" and df.select(col.alias("x")).dtypes[0][1] in ("double", "float"):
+                    return aggregate("exact_mean", col)
                 return aggregate(name, col, pos=pos) if name in ("first", "last", "collect") else aggregate(name, col)
             match e[0]:
                 case "arith":

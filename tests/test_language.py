@@ -126,3 +126,11 @@ def test_occupancy_is_clipped_to_a_leading_window(spark, run):
     assert run("time_range 40 .. 120 | agg { b = busy(), u = utilization(), n = count() }", df) == [(80, 1.0, 1)]
     assert run('where name == "a" | time_range 40 .. 120 | group name { b = busy(), a = active() }', df) == [("a", 80, 2)]
     assert run("agg { b = busy(), c = concurrency() }", df) == [(160, 210 / 160)]
+
+
+def test_mean_of_equal_values_is_that_value(spark):
+    """A row at its group's mean is not above it, in whatever order the values were added."""
+    rows = [(100 * n + i, n, sign * n / 10) for n in range(1, 40) for i, sign in enumerate([1 if n % 2 else -1] * n)]
+    c = Context(spark, {"t": spark.createDataFrame(rows, "event_id long, tid long, v double").repartition(5)}, Roles(), ["event_id"])
+    mean = "(from t | where tid == ^.tid | agg { m = mean(v) })"
+    assert compile_query(f"from t | where v > {mean} or v < {mean} | select event_id", None, c).collect() == []

@@ -3,12 +3,14 @@ from __future__ import annotations
 import collections
 import math
 import random
+from fractions import Fraction
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.frame import Frame
+from tessera.functions.aggregates import aggregate
 from tessera.functions.scalar import SCALARS as S
 from tessera.functions.windows import decay
 from tessera.operators import joins, occupancy, ordering, sketches, timeseries
@@ -265,3 +267,14 @@ def test_ewm_weights(spark):
     f = Frame(spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "a", None), (4, "a", 4.0)], "i long, k string, v double"), ["i"])
     by = [[round(r["x"], 9) for r in f.group_transform(["k"], "ewm_mean", "v", "x", **o).df.orderBy("i").collect()] for o in ({"alpha": 0.5}, {"span": 3}, {"halflife": 1})]
     assert by[0] == by[1] == by[2] == [1.0, round(2.5 / 1.5, 9), round(2.5 / 1.5, 9), round(5.25 / 1.75, 9)]
+
+
+def test_exact_mean(spark):
+    r = random.Random(3)
+    groups = [[r.expovariate(0.02) for _ in range(300)], [round(r.gauss(0, 50), 2) for _ in range(301)], [-0.1] * 61, [-0.01, 0.01], [r.random() - 1e15 for _ in range(99)], [2.0**61] * 500, [2.0**-93, 0.0], [1e17, 1.0, -1e17]]
+    rows = [(k, x) for k, xs in enumerate(groups) for x in [*xs, None]]
+    r.shuffle(rows)
+    df = spark.createDataFrame([*rows, (100, None), (101, math.inf), (102, math.nan), (103, 1e-300)], "k long, v double").repartition(7)
+    got = {x["k"]: x["m"] for x in df.groupBy("k").agg(aggregate("exact_mean", F.col("v")).alias("m")).collect()}
+    assert [got[k] for k in range(len(groups))] == [float(sum(map(Fraction, xs)) / len(xs)) for xs in groups]
+    assert (got[100], got[101], got[103]) == (None, math.inf, 1e-300) and math.isnan(got[102])
