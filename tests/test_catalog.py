@@ -55,3 +55,14 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["agg_distinct", "agg_hll"])
+def test_sketches_are_not_kept_for_each_distinct_value(spark, tmp_path, name):
+    rows = [(None if i % 3 == 0 else "AB"[i % 2], None if i % 11 == 0 else i) for i in range(3000)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = ENTRIES[name][0](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    sketched = [line for line in plan.splitlines() if "Aggregate" in line and ("approx_count_distinct" in line or "hll_sketch_agg" in line)]
+    assert sketched and not any("count(distinct" in line for line in sketched)
+    assert {tuple(r) for r in df.collect()} == {(None, True), ("A", True), ("B", True)}
