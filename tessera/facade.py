@@ -11,6 +11,7 @@ from tessera.frame import Frame
 from tessera.functions import scalar as S
 from tessera.functions.aggregates import AGGREGATES, aggregate
 from tessera.functions.windows import TRANSFORMS, running
+from tessera.operators import ordering
 
 _BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "add": S.add, "sub": S.sub, "mul": S.mul, "div": S.div, "floordiv": S.floordiv, "mod": S.mod, "pow": S.power,
@@ -62,6 +63,9 @@ class Columns:
 
     def transform(self, op: str, **options) -> Frame:
         """A group-wise transform (``cum_sum``, ``shift``, ``diff``, ``pct_change``, ``rank``, ``ffill``, ``rolling_mean``, ``ewm_mean``, ...)."""
+        if op == "n_group":
+            rows = ordering.with_group_index(self.frame.df, self.keys, "_n")
+            return self.frame._new(rows.withColumns({c: F.col("_n") for c in self.names}).drop("_n"))
         return self.map(lambda c: TRANSFORMS[op](self.keys, c, self.frame.pos, **options))
 
     def rolling(self, n: int, agg: str, min_count: int | None = None, **options) -> Frame:

@@ -294,6 +294,8 @@ class Frame:
         return self._new(self.df.withColumns(made))
 
     def group_transform(self, keys: list[str], op: str, column: str, into: str | None = None, **options) -> Frame:
+        if op == "n_group":
+            return self._new(ordering.with_group_index(self.df, keys, into or f"{op}_{column}"))
         return self._new(self.df.withColumn(into or f"{op}_{column}", W.TRANSFORMS[op](keys, F.col(column), self.pos, **options)))
 
     def cumsum(self, column: str, into: str = "cumsum") -> Frame:

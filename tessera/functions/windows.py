@@ -117,7 +117,7 @@ def _over(make: Callable[[Column, WindowSpec], Column]) -> Callable[..., Column]
     return lambda keys, v, pos, **_: make(v, Window.partitionBy(*keys).orderBy(pos))
 
 
-#: One value for each input row; ``keys`` group, ``pos`` orders.
+#: One value for each input row; ``keys`` group, ``pos`` orders.  ``n_group`` is no window: see ``ordering.with_group_index``.
 TRANSFORMS: dict[str, Callable[..., Column]] = {
     "cum_sum": _over(lambda v, w: _keep(v, F.sum(v).over(running(w)))),
     "cum_max": _over(lambda v, w: _keep(v, F.max(v).over(running(w)))),
@@ -128,7 +128,6 @@ TRANSFORMS: dict[str, Callable[..., Column]] = {
     "diff": _over(lambda v, w: v - F.lag(v).over(w)),
     "pct_change": _over(lambda v, w: F.try_divide(v, F.lag(v).over(w)) - 1),
     "rank": lambda keys, v, pos, method="average", ascending=True, **_: _rank(keys, v, method, ascending, pos),
-    "n_group": lambda keys, v=None, pos=None, **_: F.dense_rank().over(Window.orderBy(*[F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in keys])) - 1,
     "head": lambda keys, v, pos, n=1, **_: F.row_number().over(Window.partitionBy(*keys).orderBy(pos)) <= n,
     "tail": lambda keys, v, pos, n=1, **_: F.row_number().over(Window.partitionBy(*keys).orderBy(pos.desc())) <= n,
     "nth": lambda keys, v, pos, n=0, **_: F.row_number().over(Window.partitionBy(*keys).orderBy(pos)) == n + 1,

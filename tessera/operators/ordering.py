@@ -63,6 +63,14 @@ def with_row_index(df: DataFrame, order: list[str], name: str = "index", small:
     return rows.withColumn(name, at).select(F.col(name).cast("bigint").alias(name), *df.columns)
 
 
+def with_group_index(df: DataFrame, keys: list[str], name: str, small: int = SMALL) -> DataFrame:
+    """The number, from 0, of each row's keys among the distinct keys in order; only these are numbered, and joined back."""
+    groups = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    numbered = with_row_index(groups, groups.columns, "_group", small)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(numbered, same).withColumn(name, F.col("_group").cast("int")).drop(*numbered.columns)
+
+
 def running_total(df: DataFrame, order: list[str], value: str, name: str = "running", small: int = SMALL) -> DataFrame:
     """Running sum over the whole table in order; null where the value is null."""
     by = [F.col(c).asc_nulls_last() for c in order]

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.facade import Columns
 from tessera.frame import Frame
 from tessera.functions.aggregates import aggregate
 from tessera.functions.scalar import SCALARS as S
@@ -278,3 +279,18 @@ def test_exact_mean(spark):
     got = {x["k"]: x["m"] for x in df.groupBy("k").agg(aggregate("exact_mean", F.col("v")).alias("m")).collect()}
     assert [got[k] for k in range(len(groups))] == [float(sum(map(Fraction, xs)) / len(xs)) for xs in groups]
     assert (got[100], got[101], got[103]) == (None, math.inf, 1e-300) and math.isnan(got[102])
+
+
+@pytest.mark.parametrize("small", [ordering.SMALL, 20])
+def test_group_index(spark, small):
+    r = random.Random(5)
+    rows = [(i, None if (k := r.randrange(60)) == 7 else k, r.choice(["x", "y", None]), 1.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k long, t string, v double").repartition(5)
+    order = sorted({x[1:3] for x in rows}, key=lambda g: [(x is None, x or 0) for x in g])
+    want = sorted((x[0], order.index(x[1:3])) for x in rows)
+    assert sorted(values(ordering.with_group_index(df, ["k", "t"], "n", small), "id", "n")) == want
+    found = Frame(df, ["id"]).group_transform(["k", "t"], "n_group", "v", "n").df
+    assert found.columns == [*df.columns, "n"] and dict(found.dtypes)["n"] == "int" and sorted(values(found, "id", "n")) == want
+    assert sorted(values(Columns(Frame(df, ["id"]), ["k", "t"]).transform("n_group").df, "id", "v")) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Window") :]  # the distinct keys alone are numbered
