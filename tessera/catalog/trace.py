@@ -52,7 +52,7 @@ _NESTED = "i as (select distinct l_orderkey as k, l_linenumber as n from lineite
 
 
 def _tree(spark, sf_dir):
-    return calltree.call_tree(nested(spark, sf_dir), ["lane"], "s", "d", "name", "id").select("id", "lane", "name", "level", "parent_id")
+    return calltree.call_tree(nested(spark, sf_dir), ["lane"], "s", "d", "name", "id", paths=False).select("id", "lane", "name", "level", "parent_id")
 
 
 def _flame(spark, sf_dir):

@@ -920,7 +920,7 @@ class Compiler:
     def _call_tree(self, state: _State) -> _State:
         r = self.c.roles
         rows = ordering.with_row_index(state.df, state.order, "_id") if state.order else state.df.withColumn("_id", F.monotonically_increasing_id())
-        tree = calltree.call_tree(rows, list(r.lane), r.time, r.duration, r.name, "_id")
+        tree = calltree.call_tree(rows, list(r.lane), r.time, r.duration, r.name, "_id", paths=False)
         numbered = ordering.with_row_index(tree, [*r.lane, "start", "level", "id"], "_row")
         parents = numbered.select(F.col("id").alias("_pid"), F.col("_row").alias("parent"))
         out = numbered.join(parents, F.col("parent_id") == F.col("_pid"), "left")

@@ -14,7 +14,7 @@ from tessera.frame import Frame
 from tessera.functions.aggregates import aggregate
 from tessera.functions.scalar import SCALARS as S
 from tessera.functions.windows import decay
-from tessera.operators import joins, occupancy, ordering, sketches, timeseries
+from tessera.operators import calltree, joins, occupancy, ordering, sketches, timeseries
 from tessera.udf import fold
 
 
@@ -294,3 +294,71 @@ def test_group_index(spark, small):
     assert sorted(values(Columns(Frame(df, ["id"]), ["k", "t"]).transform("n_group").df, "id", "v")) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Window") :]  # the distinct keys alone are numbered
+
+
+def walked(rows):
+    """(id, level, parent, path) by one stack for each lane; rows are (id, lane, name, start, duration)."""
+    stacks, out = {}, []
+    for i, lane, name, s, d in sorted(rows, key=lambda r: (r[3] is None, r[3] or 0, -(r[4] or 0), r[0])):
+        if s is None:
+            out.append((i, 0, -1, name or ""))
+            continue
+        stack = stacks.setdefault(str(lane), [])
+        while stack and stack[-1][1] <= s:
+            stack.pop()
+        path = (stack[-1][2] + ";" if stack else "") + (name or "")
+        out.append((i, len(stack), stack[-1][0] if stack else -1, path))
+        stack.append((i, s + (d or 0), path))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["one root", "nested", "any"])
+def test_call_tree_over_range_borders(spark, kind):
+    r = random.Random(kind)
+    rows = []
+
+    def nest(lane, low, high, depth):
+        rows.append((len(rows), lane, r.choice(["f", "g;h", "k", None]), low, high - low))
+        while depth and low < high and r.random() < 0.9:
+            a = r.randint(low, high)
+            low = r.randint(a, high)
+            nest(lane, a, low, depth - 1)
+
+    for lane in (1.5, -0.0, math.nan, None):
+        if kind == "one root":
+            rows.append((len(rows), lane, "main", 0, 100_000))
+        for at in range(0, 100_000, 2_000):
+            if kind == "any":  # overlapping, empty, without length or start
+                rows.extend((len(rows) + j, lane, r.choice("abc"), r.choice([None, at + r.randrange(3000), at]), r.choice([None, 0, r.randrange(9000)])) for j in range(3))
+            else:
+                nest(lane, at, at + r.choice([1000, 2000]), 6)
+    df = spark.createDataFrame(rows, "i long, lane double, n string, s long, d long").repartition(5)
+    tree = calltree.call_tree(df, ["lane"], "s", "d", "n", "i", rows_in_range=40).cache()
+    want = walked(rows)
+    assert sorted(values(tree, "id", "level", "parent_id", "path")) == want
+    assert sorted(values(tree, "id", "name", "start"), key=str) == sorted(((i, n, s) for i, _, n, s, _ in rows), key=str)
+    length = {i: d or 0 for i, _, _, s, d in rows if s is not None}
+    total, own = collections.Counter(), collections.Counter()
+    path = {i: p for i, _, _, p in want}
+    for i, _, parent, p in want:
+        total[p] += length.get(i, 0)
+        own[p] += length.get(i, 0)
+        if parent >= 0:
+            own[path[parent]] -= length[i]
+    flame = calltree.flamegraph(tree)
+    assert {x["path"]: (x["count"], x["total"] or 0, x["self"] or 0) for x in flame.collect()} == {p: (n, total[p], own[p]) for p, n in collections.Counter(path.values()).items()}
+    lanes = collections.Counter()
+    for x in calltree.flamegraph(tree, ["lane"]).collect():
+        lanes[x["path"]] += x["self"] or 0
+    assert lanes == own
+    tree.unpersist()
+
+
+def test_call_tree_of_one_lane_takes_no_single_task(spark):
+    """A root over the whole lane, which has no idle point: no task reads most of the rows."""
+    n = 4000
+    df = spark.range(n).select("id", F.when(F.col("id") == 0, 10 * n).otherwise(5).alias("d"), (F.col("id") * 10).alias("s"), F.lit("x").alias("n"))
+    tree = calltree.call_tree(df, [], "s", "d", "n", "id", rows_in_range=200).withColumn("task", F.spark_partition_id())
+    sizes = [x["count"] for x in tree.groupBy("task").count().collect()]
+    assert sum(sizes) == n and max(sizes) < n / 2
+    assert tree.groupBy("level", "parent_id").count().where("level = 1 and parent_id = 0").first()["count"] == n - 1
