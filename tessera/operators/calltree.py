@@ -175,7 +175,15 @@ def call_tree(df: DataFrame, lane: list[str], start: str, duration: str, name: s
 
 def flamegraph(tree: DataFrame, group: list[str] | None = None) -> DataFrame:
     """One row per distinct path (and group): name, level, count, total and self time."""
-    group = group or []
-    children = tree.where("parent_id >= 0").groupBy(F.col("parent_id").alias("_of")).agg(F.sum("duration").alias("_inner"))
-    own = tree.join(children, F.col("id") == F.col("_of"), "left")
-    return own.groupBy(*group, "path").agg(F.first("name").alias("name"), F.first("level").alias("level"), F.count(F.lit(1)).alias("count"), F.sum("duration").alias("total"), F.sum(F.col("duration") - F.coalesce("_inner", F.lit(0))).alias("self"))
+    if group:
+        children = tree.where("level > 0").groupBy(F.col("parent_id").alias("_of")).agg(F.sum("duration").alias("_inner"))
+        own = tree.join(children, F.col("id") == F.col("_of"), "left")
+        return own.groupBy(*group, "path").agg(F.first("name").alias("name"), F.first("level").alias("level"), F.count(F.lit(1)).alias("count"), F.sum("duration").alias("total"), F.sum(F.col("duration") - F.coalesce("_inner", F.lit(0))).alias("self"))
+    # A row's time counts for its own path, and against the path above it, which is its own without the name.
+    above = F.col("path").substr(F.lit(1), F.char_length("path") - F.char_length(F.coalesce("name", F.lit(""))) - 1)
+    node = F.struct("level", "name")
+    own = F.struct(F.col("path").alias("path"), node.alias("node"), F.lit(1).alias("count"), F.col("duration").alias("total"), F.col("duration").alias("self"))
+    taken = F.struct(above.alias("path"), F.when(F.lit(False), node).alias("node"), F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("total"), (-F.col("duration")).alias("self"))
+    parts = tree.select(F.explode(F.when(F.col("level") > 0, F.array(own, taken)).otherwise(F.array(own))).alias("x")).select("x.*")
+    out = parts.groupBy("path").agg(F.max("node").alias("node"), *[F.sum(c).alias(c) for c in ("count", "total", "self")])
+    return out.select("path", "node.name", "node.level", "count", "total", "self")

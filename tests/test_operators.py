@@ -346,6 +346,7 @@ def test_call_tree_over_range_borders(spark, kind):
         if parent >= 0:
             own[path[parent]] -= length[i]
     flame = calltree.flamegraph(tree)
+    assert "Join" not in flame._jdf.queryExecution().optimizedPlan().toString()  # the tree is made once
     assert {x["path"]: (x["count"], x["total"] or 0, x["self"] or 0) for x in flame.collect()} == {p: (n, total[p], own[p]) for p, n in collections.Counter(path.values()).items()}
     lanes = collections.Counter()
     for x in calltree.flamegraph(tree, ["lane"]).collect():
